@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from veinstone.llm.near_dedup import op9_near_dedup
 from veinstone.llm.packing import op3_packing
 from veinstone.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
