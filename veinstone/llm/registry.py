@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from veinstone.llm.near_dedup import op9_near_dedup
 from veinstone.llm.packing import op3_packing
+from veinstone.llm.quality import op7_quality
 from veinstone.llm.token_counts import op8_token_counts
+from veinstone.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
 }
