@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from veinstone.llm.decontamination import op2_decontamination
+from veinstone.llm.embedding_dedup import op10_embedding_dedup
 from veinstone.llm.near_dedup import op9_near_dedup
 from veinstone.llm.packing import op3_packing
+from veinstone.llm.pii import op6_pii
 from veinstone.llm.quality import op7_quality
 from veinstone.llm.token_counts import op8_token_counts
 from veinstone.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
