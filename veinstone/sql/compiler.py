@@ -641,6 +641,8 @@ class Compiler:
                 new = key_ids.get(N.Name(e.id, LOCAL)) or ids[len(calls) + list(firsts).index(N.Name(e.id, LOCAL))]
                 entries.append(replace(e, id=new))
         known |= {N.Name(e.id, LOCAL): Val(F.col(e.id), e.type) for e in entries}
+        shown_ids = {e.id for e in entries}
+        entries += [Entry(None, LOCAL + i, i, types[i]) for i in types if i not in shown_ids]  # for the analyzer only: no name finds them
         out = Lowering(self, Scope(df, entries, low.scope.outer), low.ctes, known)
         out.stars = [e for e in low.scope.entries]  # the source's columns, for SELECT *
         return out
