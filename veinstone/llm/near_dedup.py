@@ -6,13 +6,13 @@ equal sets are equal, sketches merge by maximum, and two sets' registers agree
 with about the probability of their Jaccard similarity.
 
 1. One pass sketches every whole text.  Equal sets collapse to one node.
-2. Bands of register values make buckets.  Candidates are links from a bucket's
-   members to its hubs, never all pairs of a large bucket: members that a hub
-   already joins need no link of their own.  Buckets that still hold more than
-   one component get more hubs, and at last all pairs across components, so no
-   link between different texts is lost.
+2. Bands of register values make buckets.  Candidates are the pairs of small
+   buckets and, in large ones, the links of all members to one hub.
 3. A candidate must pass the joint likelihood of its two sketches (set sizes
-   known); then the full shingle sets decide.
+   known); then the full shingle sets decide.  Large buckets that still hold
+   more than one component are compared whole, in blocks of at most two times
+   BLOCK members whose full sets are intersected in one matrix product; a block
+   returns a spanning forest, never its pairs.  So no link is lost.
 4. Components are the fixed point of min-label propagation with pointer
    jumping; labels never come to the driver.
 
@@ -40,7 +40,7 @@ BASE, SCALE, TOP = 1.001, 20.0, 65_535
 #: A candidate goes only if 0.85 or more is exp(-14) less likely than the best similarity.
 DOUBT = 14.0
 SMALL_BUCKET = 8
-HUBS = (1, 8, 64)
+BLOCK = 1024
 
 
 def sketch(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -174,6 +174,63 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInPandas(run, "a long, b long")
 
 
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that join up each block's members, from exact intersections of their full sets.
+
+    Rows are sorted by block.  Elements of one member only can't be shared and
+    are left out; a block's links come back as a spanning forest, a row per
+    member at most, never as its pairs.
+    """
+
+    def block(group: pd.DataFrame):
+        sets = [np.frombuffer(e, np.uint64) for e in group["elements"]]
+        size = np.array([len(x) for x in sets], np.float32)
+        member = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = df[column] > 1
+        member, column = member[shared], np.cumsum(df > 1)[column[shared]] - 1
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[member[a:b], column[a:b] - at] = 1
+            both += part @ part.T  # counts below 2**24 are exact
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        side = group["side"].to_numpy()
+        if group["low"].iloc[0] != group["high"].iloc[0]:
+            near &= side[:, None] != side[None, :]
+        np.fill_diagonal(near, True)
+        root = np.arange(len(sets))
+        while True:
+            new = np.where(near, root[None, :], len(sets)).min(1)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        # A root is reachable, though perhaps not linked directly: its component is what counts.
+        nid = group["nid"].to_numpy()
+        moved = root != np.arange(len(sets))
+        return pd.DataFrame({"a": np.minimum(nid[root], nid)[moved], "b": np.maximum(nid[root], nid)[moved]})
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            key = b[["key", "low", "high"]].to_numpy()
+            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+            rest = b.iloc[bounds[-1] :]
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                yield block(b.iloc[s:e])
+        if rest is not None and len(rest):
+            yield block(rest)
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(nid, label) of every linked node; label is the smallest node reachable.
 
@@ -214,23 +271,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     pairs = every.unionByName(large.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")))
     links = materialize(_verify(_estimate(pairs.distinct(), candidates, percent), sets, percent), "links")
     labels = components(links)
-    for hubs in (*HUBS[1:], None):
-        # Buckets that hold one component are done; in the others only pairs across components are open.
-        open_ = large.select("key", "nid").join(labels, "nid", "left").select("key", "nid", F.coalesce("label", "nid").alias("label"))
-        unsettled = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        open_ = materialize(open_.join(unsettled, "key"), "open")
-        if open_.isEmpty():
-            break
-        if hubs is None:
-            centre = open_.select("key", F.col("nid").alias("hub"), F.col("label").alias("hub_label"))
-        else:
-            slot = F.pmod(F.xxhash64("key", "nid"), F.lit(hubs))
-            centre = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("nid", F.lit(hubs)), "nid", "label")).alias("h")).select("key", F.col("h.nid").alias("hub"), F.col("h.label").alias("hub_label"))
-        across = open_.join(centre, "key").where("label <> hub_label").select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
-        more = _verify(_estimate(across, candidates, percent), sets, percent)
-        links = materialize(links.unionByName(more), "links")
+    # Large buckets that hold one component are done; the others are compared in whole blocks.
+    open_ = large.select("key", "nid", "size").join(labels, "nid", "left").select("key", "nid", "size", F.coalesce("label", "nid").alias("label"))
+    unsettled = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    open_ = materialize(open_.join(unsettled, "key").select("key", "nid", "size"), "open")
+    if not open_.isEmpty():
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = open_.join(sets, "nid").withColumn("side", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid", "elements")
+        more = _block_links(rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"), percent)
+        links = materialize(links.unionByName(more).distinct(), "links")
         labels = components(links)
-        discard(open_)
 
     named = nodes.select("nid", "set_id", "doc_id").join(labels, "nid", "left").select("set_id", "doc_id", F.coalesce("label", "nid").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
