@@ -19,11 +19,12 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def custom_source(name: str, schema: str, scan: Callable[[dict], Iterable[tuple]], parts: int = 1) -> type[DataSource]:
+def custom_source(name: str, schema: str, scan: Callable[[dict], Iterable[tuple]], parts: int = 1, pushdown: bool = False) -> type[DataSource]:
     """A data source over a Python scan.
 
     scan gets {"part": i, "parts": n, "filters": [(op, column, value), ...]}
-    and yields rows.  The filters are hints that save work: Spark applies
+    and yields rows.  pushdown needs spark.sql.python.filterPushdown.enabled;
+    the filters are then hints that save work: Spark applies
     every filter again to what the scan yields.  Register the class with
     spark.dataSource.register and read it by its name.
     """
@@ -32,6 +33,13 @@ def custom_source(name: str, schema: str, scan: Callable[[dict], Iterable[tuple]
         def __init__(self):
             self.filters: list[tuple] = []
 
+        def partitions(self):
+            return [InputPartition(i) for i in range(parts)]
+
+        def read(self, partition):
+            yield from scan({"part": partition.value, "parts": parts, "filters": self.filters})
+
+    class FilteringReader(Reader):
         def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
             ops = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
             for f in filters:
@@ -39,12 +47,6 @@ def custom_source(name: str, schema: str, scan: Callable[[dict], Iterable[tuple]
                     self.filters.append((ops[type(f)], f.attribute[0], f.value))
                 yield f
 
-        def partitions(self):
-            return [InputPartition(i) for i in range(parts)]
-
-        def read(self, partition):
-            yield from scan({"part": partition.value, "parts": parts, "filters": self.filters})
-
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -54,7 +56,7 @@ def custom_source(name: str, schema: str, scan: Callable[[dict], Iterable[tuple]
             return schema
 
         def reader(self, schema):
-            return Reader()
+            return FilteringReader() if pushdown else Reader()
 
     return Source
 

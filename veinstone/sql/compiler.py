@@ -586,6 +586,14 @@ class Compiler:
             plain = any(w.name == "ROW_NUMBER" and not w.partition and not w.order for w in windows)
             df = with_ordinal(low.scope.df, name) if plain else low.scope.df.withColumn(name, F.monotonically_increasing_id())
             low = replace(low, scope=replace(low.scope, df=df), ordinal=name)
+            # Windows come before the sort, or their own sorting would undo it.
+            values = {w: low.val(w) for w in dict.fromkeys(windows)}
+            ids = {w: self.fresh() for w in values}
+            df = df.select("*", *[v.col.alias(ids[w]) for w, v in values.items()])
+            hidden = [Entry(None, LOCAL + i, i, values[w].type) for w, i in ids.items()]
+            stars = low.scope.entries
+            low = replace(low, scope=Scope(df, [*stars, *hidden], outer), known={w: Val(F.col(i), values[w].type) for w, i in ids.items()})
+            low.stars = stars
         return self.projected(low, node, items, order)
 
     def grouped(self, low: Lowering, group: list[N.Node], used: list) -> Lowering:
