@@ -173,7 +173,7 @@ def features(tokens: list[str], i: int, j: int) -> np.ndarray:
     f["at_sign"], f["at_word"], f["dot_word"] = at, word > 0, "dot" in letters
     pos = seg.index("@") if at else word
     f["dot_after_at"] = pos > 0 and (("." in seg[pos:]) or "dot" in [t.lower() for t in seg[pos:]])
-    f["long_tail"] = bool(letters) and pos > 0 and 2 <= len(seg[-1]) <= 4 and seg[-1].isalpha()
+    f["long_tail"] = bool(letters) and pos > 0 and 2 <= len(seg[-1]) <= 4 and seg[-1].isalpha() and seg[-1].lower() not in ("at", "dot")
     before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
     f["digit_neighbour"] = before[0] in "0123456789.-:/$#" or after[0] in "0123456789-:/%"
     f["letter_neighbour"] = before[0].isalpha() or after[0].isalpha()

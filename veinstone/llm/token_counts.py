@@ -32,7 +32,7 @@ def count_by_chunks(encoder: PieceEncoder, text: str, chunk: int = CHUNK, overla
     """Tokens of text, equal to encoder.count(text)."""
     if len(text) <= chunk:
         return encoder.count(text)
-    total, start, skip = 0, 0, 0  # the first `skip` characters of this chunk are counted already
+    total, start, skip = 0, 0, -1  # tokens that end at `skip` or before are counted already; -1: a lone prefix mark ends at 0
     left, stop = None, min(len(text), chunk)
     left = encoder.boundaries(text[start:stop])
     while True:
