@@ -228,3 +228,13 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SMALL).toPandas()
     assert set(packed.doc_id) == ids
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
+
+
+@pytest.mark.parametrize("name", ["op9_near_dedup", "op10_embedding_dedup"])
+def test_similarity_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, SMALL).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -222,3 +222,16 @@ def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The same in DuckDB's SQL, by the cosines of all pairs: for small tables only.
+ORACLE = """
+WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT x, count(*) AS k FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.k, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id JOIN least l ON l.a = e.vec_id
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veinstone.llm import embedding_dedup, near_dedup
 from veinstone.llm.chat import op4_chat
 from veinstone.llm.decontamination import op2_decontamination
 from veinstone.llm.embedding_dedup import op10_embedding_dedup
@@ -27,5 +28,9 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-#: The others need models, tokenizers or set similarity beyond SQL's reach; their tests compare with brute force.
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter_sql()}
+#: The others need models or tokenizers, beyond SQL's reach; their tests compare with brute force.
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filter_sql(),
+    "op9_near_dedup": near_dedup.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
+}
