@@ -19,9 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.select(COLUMNS).where(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates stays, the one of smallest id.
+
+    Where ids repeat, equal rows become one.  Rows without an id stay: they
+    can't name a group.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    kept = materialize(kept, "kept")
+    out = docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.select(COLUMNS).where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
