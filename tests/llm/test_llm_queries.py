@@ -19,7 +19,7 @@ from veinstone.llm.tokenizing import piece_encoder
 SMALL = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, extra string"
-EDGE = [(1, None, "x"), (2, "", "x"), (None, "a b c d e f", "x"), (3, "one", "x"), (4, "one", "y"), (4, "one", "y"), (5, "word " * 20_000, None)]
+EDGE = [(1, None, "x"), (2, "", "x"), (None, "a b c d e f", "x"), (2**62 + 1, "big id here", "x"), (3, "one", "x"), (4, "one", "y"), (4, "one", "y"), (5, "word " * 20_000, None)]
 
 
 def docs_of(spark, rows=EDGE, schema=DOCS):
@@ -67,14 +67,15 @@ def test_token_counts(spark):
 
 def test_packing(spark):
     tokenizer = Tokenizer.from_file(WORDS)
-    got = packing.pack(docs_of(spark), WORDS).toPandas()
+    df = packing.pack(docs_of(spark), WORDS).fillna(-1, "doc_id")
+    got = df.toPandas()
     whole = {}
     for doc_id, text, _ in EDGE:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         for piece, at in enumerate(range(0, len(ids), 2048)):
             part = np.array(ids[at : at + 2048], "<u4")
             whole.setdefault((doc_id if doc_id is not None else -1, piece, at, len(part), zlib.crc32(part.tobytes())), []).append(1)
-    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.piece, got.start, got.length, got.ids_crc32)) == sorted(k for k, n in whole.items() for _ in n)
+    assert sorted(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == sorted(k for k, n in whole.items() for _ in n)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
     assert packing.pack(docs_of(spark).limit(0), WORDS).count() == 0
@@ -238,3 +239,8 @@ def test_similarity_oracles(spark, name):
     want = con.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, SMALL).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_ids_keep_their_digits_beside_nulls(spark):
+    got = token_counts.count_tokens(docs_of(spark), public_tokenizers.path("piece_bpe_32k.model"))
+    assert got.where(f"doc_id = {2**62 + 1}").count() == 1 and near_dedup.near_duplicates(docs_of(spark)).where(f"component_id = {2**62 + 1}").count() == 1

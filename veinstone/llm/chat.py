@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import materialize, read_table, small_batches
+from veinstone.llm.common import map_frames, materialize, read_table, small_batches
 from veinstone.llm.near_dedup import components
 
 LEAST_WORDS = 4
@@ -73,11 +73,11 @@ def _parsed(messages: DataFrame) -> DataFrame:
                 own, quoted = parse(text)
                 hashes = [(level, *h) for level, q in quoted if (h := passage_hash(q))]
                 rows.append((own, sorted(own_passages(own)), [{"level": x, "hash": h, "words": w} for x, h, w in hashes], len(quoted)))
-            yield pd.concat([b.drop(columns="text").reset_index(drop=True).astype({"conv_id": "Int64", "turn": "Int64"}), pd.DataFrame(rows, columns=["own", "passages", "quotes", "n_quoted"])], axis=1)
+            yield pd.concat([b.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=["own", "passages", "quotes", "n_quoted"])], axis=1)
 
     small_batches(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.mapInPandas(run, "conv_id long, turn long, role string, own string, passages array<long>, quotes array<struct<level:int,hash:long,words:int>>, n_quoted long")
+    return map_frames(rows, run, "conv_id long, turn long, role string, own string, passages array<long>, quotes array<struct<level:int,hash:long,words:int>>, n_quoted long")
 
 
 def _previous(places: DataFrame) -> DataFrame:

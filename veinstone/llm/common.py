@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +67,28 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def held_out(doc_id: Column) -> Column:
     """True for the evaluation fold: crc32 of the id as text, modulo five."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+
+def map_frames(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
+    """mapInPandas in which integer columns with nulls stay integers, so that ids keep all their digits."""
+    schema = T._parse_datatype_string(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def go(batches):
+        for out in run(b.to_pandas(types_mapper=_NULLABLE.get) for b in batches):
+            yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(go, schema)
+
+
+def filter_texts(df: DataFrame, keep: Callable[[list], list]) -> DataFrame:
+    """The rows for whose texts keep() says true; all columns pass through untouched."""
+
+    def go(batches):
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(go, df.schema)

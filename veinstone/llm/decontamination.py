@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import read_table, small_batches
+from veinstone.llm.common import filter_texts, map_frames, read_table, small_batches
 
 Q = 10
 WINDOW = 100
@@ -221,9 +221,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids, spans = spans_of(text, index)
                     items.append(",".join(map(str, sorted({*map(int, i.split(",") if i else []), *ids}))))
                     places.append(",".join([*([p] if p else []), *(f"{x}:{y}" for x, y in spans)]))
-                yield b.assign(items=items, places=places, doc_id=b["doc_id"].astype("Int64"))
+                yield b.assign(items=items, places=places)
 
-        rows = rows.mapInPandas(run, "doc_id long, text string, items string, places string")
+        rows = map_frames(rows, run, "doc_id long, text string, items string, places string")
     n = F.when(F.col("items") == "", F.lit(0)).otherwise(F.size(F.split("items", ","))).cast("long")
     return rows.select("doc_id", (F.col("items") != "").alias("contaminated"), n.alias("n_items"), F.col("items").alias("item_ids"), F.col("places").alias("spans"))
 
@@ -236,12 +236,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast((hash(tuple(block)), block))
 
-        def run(batches, shared=shared):
-            for b in batches:
-                index = _index(shared)
-                yield b[[not spans_of(t, index)[0] for t in b["text"]]]
+        def keep(texts, shared=shared):
+            index = _index(shared)
+            return [not spans_of(t, index)[0] for t in texts]
 
-        out = out.mapInPandas(run, docs.schema)
+        out = filter_texts(out, keep)
     return out
 
 

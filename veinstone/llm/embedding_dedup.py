@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import materialize, read_table, small_batches
+from veinstone.llm.common import map_frames, materialize, read_table, small_batches
 from veinstone.llm.near_dedup import components
 
 LINK = 0.9
@@ -105,10 +105,10 @@ def usable(vectors: DataFrame) -> DataFrame:
                 x = x / np.abs(x).max() + 0.0  # no overflow in the norm; -0.0 becomes 0.0
                 raw.append((x / np.linalg.norm(x)).tobytes())
                 keys.append(xxhash.xxh3_128_digest(np.asarray(e, np.float64).tobytes()))
-            yield pd.DataFrame({"vec_id": b["vec_id"].astype("Int64"), "key": keys, "unit": raw})
+            yield pd.DataFrame({"vec_id": b["vec_id"], "key": keys, "unit": raw})
 
     small_batches(vectors.sparkSession, 4096)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, key binary, unit binary")
+    return map_frames(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, key binary, unit binary")
 
 
 def _by_dimension(units: pd.Series):

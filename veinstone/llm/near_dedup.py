@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import discard, materialize, read_table, small_batches
+from veinstone.llm.common import discard, map_frames, materialize, read_table, small_batches
 from veinstone.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 5
@@ -114,10 +114,10 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                     known[key] = sketch(s).tobytes()
                 ids.append(key)
                 regs.append(known[key])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_id": ids, "registers": regs})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "set_id": ids, "registers": regs})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_id binary, registers binary")
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_id binary, registers binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:

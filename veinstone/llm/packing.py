@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import materialize, read_table, small_batches
+from veinstone.llm.common import map_frames, materialize, read_table, small_batches
 from veinstone.llm.tokenizing import word_encoder
 
 LENGTH = 2048
@@ -160,7 +160,7 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFra
                 yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def place(batches):
         for b in batches:
-            n, rank = b["length"].to_numpy(), b["rank"].to_numpy()
+            n, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
             sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             for value in np.unique(n).tolist():
                 rows = np.flatnonzero(n == value)
@@ -183,10 +183,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 k = rank[rows] - first[j]
                 sequence[rows] = base[j] + k // times[j]
                 offset[rows] = start[j] + k % times[j] * value
-            yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+            yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     ranked = pieces.join(counts.select("length", "pid", "base"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("lrank")).alias("rank"))
-    return ranked.mapInPandas(place, OUT)
+    return map_frames(ranked, place, OUT)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import read_table, small_batches
+from veinstone.llm.common import map_frames, read_table, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns by kind.
@@ -341,7 +342,7 @@ def find(docs: DataFrame) -> DataFrame:
                 yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, OUT)
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OUT)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -352,16 +353,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 base, added = all_spans(t, field)
                 texts.append(redact(t, base + added) if base or added else t)
-            b["text"] = texts
+            new = {"text": pa.array(texts, b.schema.field("text").type)}
             if counted:
-                b["n_chars"] = pd.array([len(t) if isinstance(t, str) else n for t, n in zip(texts, b["n_chars"])], dtype="Int64")
-            yield b
+                old = b.column("n_chars")
+                new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, old.to_pylist())], old.type)
+            yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in b.schema.names], schema=b.schema)
 
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import held_out, read_table, small_batches
+from veinstone.llm.common import held_out, map_frames, read_table, small_batches
 from veinstone.llm.labelled import training_rows
 
 BUCKETS = 4096
@@ -188,7 +188,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float =
             yield b.drop(columns="text").assign(score=p, predicted=(p >= threshold).astype("int32"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, OUT)
+    return map_frames(rows, run, OUT)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import read_table, small_batches
+from veinstone.llm.common import map_frames, read_table, small_batches
 from veinstone.llm.tokenizing import PieceEncoder, piece_encoder
 
 CHUNK = 16_384
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, chunk: int = CHU
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, OUT)
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OUT)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

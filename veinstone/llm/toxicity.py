@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import held_out, read_table, small_batches
+from veinstone.llm.common import filter_texts, held_out, map_frames, read_table, small_batches
 from veinstone.llm.labelled import training_rows
 
 SPACE = 1 << 18
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5,
             yield b.drop(columns="text").assign(score=p, predicted=(p >= threshold).astype("int32"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, OUT)
+    return map_frames(rows, run, OUT)
 
 
 def keep_clean(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
@@ -166,12 +166,7 @@ def keep_clean(docs: DataFrame, model: FactorizationMachine, threshold: float =
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        for b in batches:
-            yield b[shared.value.scores([document_terms(t) for t in b["text"]]) < threshold]
-
-    return docs.mapInPandas(run, docs.schema)
+    return filter_texts(docs, lambda texts: shared.value.scores([document_terms(t) for t in texts]) < threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
