@@ -156,3 +156,21 @@ def test_tables_from_rows(spark):
         Engine(spark, {"t": []})
     with pytest.raises(ValueError):
         Engine(spark, {"t": [dict(a=1), dict(b=2)]})
+
+
+def test_unnested_structs_and_subquery_arguments(engine, spark):
+    engine.register("traces", spark.createDataFrame([(1, [("a", 1), ("b", 2)]), (2, [])], "id int, tools array<struct<name:string,n:int>>"))
+    assert sorted(rows(engine, "SELECT id, t.name FROM traces, UNNEST(tools) AS t")) == [(1, "a"), (1, "b")]
+    assert rows(engine, "SELECT id, t.name FROM traces JOIN UNNEST(tools) AS t(x) ON t.n > 1") == [(1, "b")]
+    assert sorted(rows(engine, "SELECT x FROM UNNEST((SELECT ARRAY_AGG(id) FROM people)) AS u(x)")) == [(1,), (2,), (3,)]
+
+
+def test_nested_correlation_and_ctes(engine):
+    assert rows(engine, "SELECT p.id, (SELECT COUNT(*) FROM buys b WHERE b.who = p.id AND b.sum > (SELECT MIN(sum) FROM buys)) AS c FROM people p ORDER BY p.id") == [(1, 2), (2, 0), (3, 0)]
+    assert rows(engine, "WITH People AS (SELECT id FROM people WHERE id > 1) SELECT COUNT(*) AS n FROM PEOPLE a JOIN people b ON a.id = b.id") == [(2,)]
+
+
+@pytest.mark.parametrize("text", ["SELECT x FROM lists LATERAL VIEW EXPLODE(arr) AS x", "SELECT x FROM lists LATERAL VIEW EXPLODE(arr) t", "SELECT * FROM UNNEST(arr)", "SELECT * FROM JSON_EACH('{}') AS j(a, b, c)"])
+def test_table_function_errors(engine, text):
+    with pytest.raises(Exception):
+        engine.sql(text)

@@ -352,6 +352,8 @@ def _steps(path: str) -> list:
 def json_path(a, text_only: bool = False) -> Column:
     """What the path names. Structs, maps and arrays keep their types; JSON text gives the scalar's text."""
     v, p = a
+    if p.literal and p.literal[0] is None:
+        return F.lit(None).cast("string")
     if not p.literal or not isinstance(p.literal[0], str):
         raise ArgumentError("The JSON path must be a literal")
     steps = _steps(p.literal[0])
@@ -462,8 +464,10 @@ def array_length(a):
     if len(a) == 1:
         return size
     dim = a[1].literal[0] if a[1].literal else None
-    if not isinstance(dim, int) or dim < 1:
-        raise ArgumentError("The dimension must be a positive integer literal")
+    if not isinstance(dim, int):
+        raise ArgumentError("The dimension must be an integer literal")
+    if dim < 1:
+        return F.lit(None).cast("int")
     c, t = v.col, v.type
     for _ in range(dim - 1):
         if not isinstance(t.elementType, T.ArrayType):

@@ -88,7 +88,8 @@ class Lowering:
             dotted = self.scope.find(f"{n.prefix}.{n.name}", None)
             if dotted:
                 return N.Name(dotted.id, LOCAL, start=n.start, end=n.end)
-            base = self.scope.find(n.prefix, None)
+            # A struct column, or the alias of a table function that yields structs.
+            base = self.scope.find(n.prefix, None) or next((e for e in self.scope.entries if e.qualifier == n.prefix and isinstance(e.type, T.StructType) and n.name in e.type.fieldNames()), None)
             if base:
                 return N.Subscript(N.Name(base.id, LOCAL, start=n.start, end=n.end), N.Literal(n.name), start=n.start, end=n.end)
         outer = self.scope.outer
@@ -411,10 +412,12 @@ class Compiler:
                 return F.transform(v.col, lambda x: F.struct(x.alias("a")))
             return F.array().cast("array<struct<a:string>>")
 
-        rows = listed(v)
+        # The argument is a column of its own first: it may be a subquery, which lambdas can't hold.
+        given = self.fresh()
+        rows = listed(Val(F.col(given), v.type, v.literal))
         keep_left = join.kind == "lateral_left"
         temp = self.fresh()
-        made = left.df.withColumn(temp, rows)
+        made = left.df.withColumn(given, v.col).withColumn(temp, rows)
         probe = replace(low, probing=True, types=dict(low.types))
         element = left.typing(self.spark).select(listed(probe.val(low.resolve(f.args[0]))).alias(temp)).schema[temp].dataType.elementType
         fields = element.fieldNames()
