@@ -29,7 +29,7 @@ SPACE = 1 << 18
 FACTORS = 4
 MOST_ROWS = 6000
 LEAST_DOCS = 3
-LEAST_CHI = 4.0
+LEAST_CHI = 16.0
 MOST_TERMS = 1 << 14
 MEMO = 300_000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -90,7 +90,7 @@ def informative(docs: list[np.ndarray], y: np.ndarray, most: int = MOST_TERMS) -
     return np.sort(best[chi[best] > 0])
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
     """Logistic loss by full-batch Adam with weight decay; the pair part sees length-normalised values."""
     n = len(docs)
     row_of = np.full(SPACE, -1, np.int32)
