@@ -244,3 +244,11 @@ def test_similarity_oracles(spark, name):
 def test_ids_keep_their_digits_beside_nulls(spark):
     got = token_counts.count_tokens(docs_of(spark), public_tokenizers.path("piece_bpe_32k.model"))
     assert got.where(f"doc_id = {2**62 + 1}").count() == 1 and near_dedup.near_duplicates(docs_of(spark)).where(f"component_id = {2**62 + 1}").count() == 1
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, long + " a", "x"), (None, long + " b", "x"), (None, other, "x"), (7, long, "x"), (7, other + " c", "x"), (7, other + " d", "x"), (9, long + " e", "x")]
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got) == sorted([(0, 7, False)] * 3 + [(7, 7, True)] * 3 + [(9, 7, False)])

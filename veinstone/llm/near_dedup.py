@@ -97,7 +97,7 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, le
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set; null if empty) and registers."""
+    """doc_id, text_hash, n_shingles, set_id (128-bit hash of the set; null if empty) and registers."""
 
     def run(batches):
         for b in batches:
@@ -114,10 +114,10 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                     known[key] = sketch(s).tobytes()
                 ids.append(key)
                 regs.append(known[key])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "set_id": ids, "registers": regs})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": [len(s) for s in sets], "set_id": ids, "registers": regs})
 
     small_batches(docs.sparkSession)
-    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_id binary, registers binary")
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, n_shingles long, set_id binary, registers binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -131,7 +131,10 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets of the wanted nodes (nid, doc_id, set_id)."""
+    """Full shingle sets of the wanted nodes, from the text that stands for each.
+
+    The join is on id and text hash, so ids that repeat or are null make no pairs.
+    """
 
     def run(batches):
         for b in batches:
@@ -139,7 +142,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             keep = [xxhash.xxh3_128_digest(s.tobytes()) == bytes(k) for s, k in zip(sets, b["set_id"])]
             yield pd.DataFrame({"nid": b["nid"], "elements": [s.tobytes() for s in sets]})[keep]
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("text_hash") == F.col("w_text_hash")))
     return joined.select("nid", "set_id", "text").mapInPandas(run, "nid long, elements binary").dropDuplicates(["nid"])
 
 
@@ -256,14 +259,14 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = materialize(signatures(docs, width), "signatures")
-    grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("registers", "n_shingles")).alias("s"))
-    nodes = materialize(grouped.select(F.monotonically_increasing_id().alias("nid"), "set_id", "doc_id", "s.n_shingles", "s.registers"), "nodes")
+    grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("d"), F.min(F.struct("registers", "n_shingles")).alias("s"))
+    nodes = materialize(grouped.select(F.monotonically_increasing_id().alias("nid"), "set_id", "d.doc_id", "d.text_hash", "s.n_shingles", "s.registers"), "nodes")
 
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("size")).where("hub < last")
     members = materialize(bands.join(shared.select("key", "hub", "size"), "key"), "members")
     candidates = materialize(nodes.join(members.select("nid").distinct(), "nid"), "candidates")
-    wanted = candidates.select("nid", "set_id", F.col("doc_id").alias("w_doc_id"))
+    wanted = candidates.select("nid", "set_id", F.col("doc_id").alias("w_doc_id"), F.col("text_hash").alias("w_text_hash"))
     sets = materialize(_sets(docs, wanted, width), "sets")
 
     small, large = members.where(F.col("size") <= SMALL_BUCKET), members.where(F.col("size") > SMALL_BUCKET)
