@@ -174,3 +174,11 @@ def test_nested_correlation_and_ctes(engine):
 def test_table_function_errors(engine, text):
     with pytest.raises(Exception):
         engine.sql(text)
+
+
+def test_positions_behind_a_shuffle(engine, spark):
+    spark.range(0, 5000).selectExpr("id", "cast(hash(id) as long) as h").repartition(7).createOrReplaceTempView("shuffled")
+    e = Engine(spark, {"t": spark.table("shuffled")})
+    got = rows(e, "SELECT a.id AS x, b.id AS y FROM (SELECT id FROM t ORDER BY id) a POSITIONAL JOIN (SELECT id FROM t ORDER BY id DESC LIMIT 4000) b")
+    assert sorted(got, key=lambda r: r[0]) == [(i, 4999 - i if i < 4000 else None) for i in range(5000)]
+    assert rows(e, "SELECT COUNT(DISTINCT r) AS n, MIN(r) AS a, MAX(r) AS b FROM (SELECT ROW_NUMBER() OVER () AS r FROM (SELECT DISTINCT h FROM t) d) q") == [(5000, 1, 5000)] or len({h for _, h in spark.table("shuffled").collect()}) < 5000

@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _frozen(df: DataFrame) -> DataFrame:
+    """df with partitions that are the same however often they are read.
+
+    A scan's are.  Behind a shuffle, adaptive execution may cut them anew for
+    each use, so such a frame is checkpointed in the folder that
+    spark.checkpoint.dir names (one of our own only where there is none).
+    """
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    except AnalysisException:  # names of an outer query: only Spark can place it
+        return df
+    if "Exchange" not in plan:
+        return df
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "veinstone-checkpoint"))
+    return df.checkpoint()
+
+
 def with_ordinal(df: DataFrame, name: str) -> DataFrame:
     """df with its rows numbered from 0 in input order.
 
@@ -13,7 +37,7 @@ def with_ordinal(df: DataFrame, name: str) -> DataFrame:
     each partition's rows start at the sum of the counts before it: two passes
     over the data, no single-task window over all of it.
     """
-    marked = df.withColumn(name + "_id", F.monotonically_increasing_id())
+    marked = _frozen(df).withColumn(name + "_id", F.monotonically_increasing_id())
     part = F.shiftright(F.col(name + "_id"), 33).cast("int")
     counts = marked.groupBy(part.alias(name + "_p")).agg(F.count(F.lit(1)).alias(name + "_n"))
     before = Window.orderBy(name + "_p").rowsBetween(Window.unboundedPreceding, -1)
