@@ -24,12 +24,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Where ids repeat, equal rows become one.  Rows without an id stay: they
     can't name a group.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    kept = materialize(kept, "kept")
-    out = docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
-    if not kept.where("times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.select(COLUMNS).where(F.col("doc_id").isNull()))
+    found = near_dedup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+    found = materialize(found.agg(F.max("kept").alias("kept"), F.count(F.when(F.col("kept"), 1)).alias("times")), "found")
+    dropped = found.where("not kept").select("doc_id")
+    out = docs.select(COLUMNS)
+    if dropped.count() <= near_dedup.MOST_SENT:
+        out = out.join(F.broadcast(dropped), "doc_id", "left_anti")
+    else:
+        out = out.join(dropped, "doc_id", "left_anti")
+    return out if found.where("times > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,3 +252,14 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     rows = [(None, long + " a", "x"), (None, long + " b", "x"), (None, other, "x"), (7, long, "x"), (7, other + " c", "x"), (7, other + " d", "x"), (9, long + " e", "x")]
     got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got) == sorted([(0, 7, False)] * 3 + [(7, 7, True)] * 3 + [(9, 7, False)])
+
+
+def test_near_dedup_stage_keeps_one_of_each_group(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, t, "en", "s", 1) for i, t in [(3, long), (3, long), (5, long + " x"), (9, "other words here"), (None, "no id"), (10, None), (11, "")]]
+    docs = spark.createDataFrame(rows, schema)
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(near_dedup, "MOST_SENT", most)
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "no id"), (3, long), (9, "other words here"), (10, ""), (11, "")]

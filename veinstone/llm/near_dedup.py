@@ -40,6 +40,8 @@ BASE, SCALE, TOP = 1.001, 20.0, 65_535
 #: A candidate goes only if 0.85 or more is exp(-14) less likely than the best similarity.
 DOUBT = 14.0
 SMALL_BUCKET = 8
+#: Up to so many ids (8 bytes each) are broadcast, so that texts needn't be shuffled; beyond, a shuffled join does the same.
+MOST_SENT = 2_000_000
 BLOCK = 1024
 
 
@@ -130,6 +132,15 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("nid", "registers").mapInPandas(run, "key long, nid long")
 
 
+def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """At least the rows of docs whose ids are among the nodes': the others needn't be shuffled."""
+    ids = nodes.select("doc_id").where("doc_id is not null").distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids.count() > MOST_SENT:
+        return docs
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Full shingle sets of the wanted nodes, from the text that stands for each.
 
@@ -267,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     members = materialize(bands.join(shared.select("key", "hub", "size"), "key"), "members")
     candidates = materialize(nodes.join(members.select("nid").distinct(), "nid"), "candidates")
     wanted = candidates.select("nid", "set_id", F.col("doc_id").alias("w_doc_id"), F.col("text_hash").alias("w_text_hash"))
-    sets = materialize(_sets(docs, wanted, width), "sets")
+    sets = materialize(_sets(_rows_of(docs, candidates), wanted, width), "sets")
 
     small, large = members.where(F.col("size") <= SMALL_BUCKET), members.where(F.col("size") > SMALL_BUCKET)
     every = small.select("key", F.col("nid").alias("a")).join(small.select("key", F.col("nid").alias("b")), "key").where("a < b").select("a", "b")
