@@ -10,6 +10,8 @@ from veinstone.llm import decontamination, near_dedup, packing, pii, toxicity
 from veinstone.llm.common import materialize, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The least similarity of near copies, in hundredths.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of smallest id.
 
+    Near are texts whose sets of five-word shingles have similarity 0.8 or more (op9's own query takes 0.85).
     Where ids repeat, equal rows become one.  Rows without an id stay: they
     can't name a group.
     """
-    found = near_dedup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("doc_id is not null").groupBy("doc_id")
     found = materialize(found.agg(F.max("kept").alias("kept"), F.count(F.when(F.col("kept"), 1)).alias("times")), "found")
     dropped = found.where("not kept").select("doc_id")
     out = docs.select(COLUMNS)

@@ -263,3 +263,13 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "MOST_SENT", most)
         got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()
         assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "no id"), (3, long), (9, "other words here"), (10, ""), (11, "")]
+
+
+def test_near_dedup_stage_drops_copies_between_80_and_85_percent(spark):
+    words = [f"w{k}" for k in range(60)]
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    # 51 of 61 shingles (0.836) and, by two changes, 46 of 66 (0.697) are shared with the first
+    rows = [(1, " ".join(words), "en", "s", 1), (2, changed(30), "en", "s", 1), (3, changed(10, 50), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == [1, 3]
+    assert {r["doc_id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()} == {1, 2, 3}

@@ -37,7 +37,7 @@ from veinstone.llm.shingles import mix, shingle_sets
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, SCALE, TOP = 1.001, 20.0, 65_535
-#: A candidate goes only if 0.85 or more is exp(-14) less likely than the best similarity.
+#: A candidate goes only if the least linked similarity or more is exp(-14) less likely than the best similarity.
 DOUBT = 14.0
 SMALL_BUCKET = 8
 #: Up to so many ids (8 bytes each) are broadcast, so that texts needn't be shuffled; beyond, a shuffled join does the same.
