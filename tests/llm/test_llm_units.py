@@ -201,6 +201,18 @@ def test_filter_recall_at_the_threshold():
     assert np.mean(shared) >= 0.95
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000, 1_000_000, 4_000_000])
+def test_filter_recall_stays_as_tables_grow(n):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    code = embedding_dedup.Code(64, embedding_dedup.code_size(n))
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y))]) >= 0.975
+
+
 def test_toxicity_learns_an_interaction():
     rng = np.random.default_rng(0)
     docs, y = [], []

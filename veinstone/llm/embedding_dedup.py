@@ -6,7 +6,9 @@ a threshold.  Directions form a product code: a random rotation, then one of
 no storage and each vector's filters are found by list decoding (pairs of
 blocks that can still reach the threshold, then the third).  The code grows
 with the number of vectors so that a filter holds few unrelated ones, and a
-vector that exceeds the threshold for few directions takes its LEAST best.
+vector that exceeds the threshold for few directions takes its best ones.
+Narrower filters part near vectors more often, so a vector's filters grow in
+number with the code and the chance of a shared one stays (see README).
 
 Equal vectors collapse first.  Vectors meet in their filters, where cosines in
 double precision decide.  A link counts only in the smallest filter that both
@@ -29,16 +31,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.llm.common import map_frames, materialize, read_table, small_batches
-from veinstone.llm.near_dedup import components
+from veinstone.llm.near_dedup import MOST_SENT, components
 
 LINK = 0.9
 BLOCKS = 3
+#: A vector's filters, on average and at least, in codes of up to STEADY words a block; they grow as the power GROWTH of larger ones.
 MEAN, LEAST = 36, 30
+STEADY, GROWTH = 36, 0.55
+MOST_WORDS = 400
 CROWD = 8
 BLOCK = 1024
 _codes: dict = {}
 
 
+def growth(size: int) -> float:
+    """How many times MEAN filters a vector has in a code of this size."""
+    return max(1.0, size / STEADY) ** GROWTH
+
+
 class Code:
     """The product code for one dimension."""
 
@@ -48,11 +58,12 @@ class Code:
         edges = np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
         self.parts = list(zip(edges[:-1], edges[1:]))
         self.size = size
+        self.least = round(LEAST * growth(size))
         self.words = []
         for a, b in self.parts:
             w = rng.normal(size=(size, b - a))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(self.parts)))
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, MEAN / float(size) ** len(self.parts))) / np.sqrt(dim)
+        self.threshold = NormalDist().inv_cdf(1 - min(0.5, MEAN * growth(size) / float(size) ** len(self.parts))) / np.sqrt(dim)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Ascending filter numbers of every row of x (unit vectors)."""
@@ -69,11 +80,11 @@ class Code:
                 rows = np.flatnonzero(pair >= threshold - top3)
                 value = pair[rows][:, None] + s3[None, :]
                 i, j = np.nonzero(value >= threshold)
-                if len(i) >= LEAST or len(i) == len(pair) * widths[2]:
+                if len(i) >= self.least or len(i) == len(pair) * widths[2]:
                     break
                 threshold -= 0.1 * max(abs(self.threshold), 0.05)
-            if threshold < self.threshold and len(i) > LEAST:
-                best = np.argsort(-value[i, j], kind="stable")[:LEAST]
+            if threshold < self.threshold and len(i) > self.least:
+                best = np.argsort(-value[i, j], kind="stable")[: self.least]
                 i, j = i[best], j[best]
             out.append(np.sort(rows[i].astype(np.int64) * widths[2] + j))
         return out
@@ -87,7 +98,7 @@ def _code(dim: int, size: int) -> Code:
 
 def code_size(n: int) -> int:
     """Codewords per block for n vectors: about CROWD unrelated vectors in a filter."""
-    return int(min(256, max(6, round((n * MEAN / CROWD) ** (1 / BLOCKS)))))
+    return next((s for s in range(6, MOST_WORDS) if s**BLOCKS * CROWD >= n * MEAN * growth(s)), MOST_WORDS)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -126,13 +137,13 @@ def filters(nodes: DataFrame, size: int, vectors: bool) -> DataFrame:
         for b in batches:
             for rows, x in _by_dimension(b["unit"]) if len(b) else ():
                 lists = _code(x.shape[1], size).decode(x)
-                lists = [f + x.shape[1] * (1 << 40) for f in lists]
                 each = [len(f) for f in lists]
-                out = {"filter": np.concatenate(lists), "nid": np.repeat(b["nid"].to_numpy()[rows], each)}
+                out = {"filter": np.concatenate(lists) + x.shape[1] * (1 << 40), "nid": np.repeat(b["nid"].to_numpy()[rows], each)}
                 if vectors:
                     take = np.repeat(np.arange(len(rows)), each)
-                    raw, units = [f.tobytes() for f in lists], b["unit"].to_numpy()[rows]
-                    out |= {"times": np.repeat(b["times"].to_numpy()[rows], each), "unit": units[take], "filters": np.array(raw, object)[take]}
+                    # A bucket needs the vector's smaller filters only; they are below MOST_WORDS**3.
+                    raw, units = [f[:k].astype("<u4").tobytes() for f in lists for k in range(len(f))], b["unit"].to_numpy()[rows]
+                    out |= {"times": np.repeat(b["times"].to_numpy()[rows], each), "unit": units[take], "filters": raw}
                 yield pd.DataFrame(out)
 
     small_batches(nodes.sparkSession)
@@ -149,9 +160,7 @@ def _bucket(group: pd.DataFrame, crossed: bool, link: float) -> pd.DataFrame | N
         near &= side[:, None] != side[None, :]
     if not near.any():
         return None
-    current = int(group["filter"].iloc[0])
-    lists = [np.frombuffer(f, np.int64) for f in group["filters"]]
-    lists = [f[: np.searchsorted(f, current)] for f in lists]
+    lists = [np.frombuffer(f, "<u4") for f in group["filters"]]
     member = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
     earlier, column = np.unique(np.concatenate(lists), return_inverse=True)
     met = np.zeros((len(lists), max(1, len(earlier))), np.float32)
@@ -203,7 +212,9 @@ def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
     size = code_size(nodes.count())
 
     hot = filters(nodes.select("nid", "unit"), size, False).groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = filters(nodes.select("nid", "times", "unit"), size, True).join(hot, "filter", "left")
+    hot = materialize(hot, "hot-filters")
+    # Few hot filters are broadcast, so that the rows are shuffled once.
+    rows = filters(nodes.select("nid", "times", "unit"), size, True).join(F.broadcast(hot) if hot.count() <= MOST_SENT else hot, "filter", "left")
     blocks = F.coalesce("blocks", F.lit(1))
     rows = rows.withColumn("side", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("filter", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid", "times", "unit", "filters")
