@@ -123,6 +123,25 @@ def test_clean_texts_get_no_span(x):
     assert pii.all_spans(x, pii.trained()) == ([], [])
 
 
+@pytest.mark.parametrize("x, kind, found", [("go to 192 . 168 . 1 . 12 now", "ip", "192 . 168 . 1 . 12"), ("go to 192 .168 .1 .12 now", "ip", "192 .168 .1 .12"), ("write to john at example.com now", "email", "john at example.com")])
+def test_spaced_spellings_reach_the_field(x, kind, found):
+    assert [(k, x[a:b]) for a, b, k in pii.all_spans(x, pii.trained())[1]] == [(kind, found)]
+
+
+def test_islands_decode_like_whole_texts():
+    rng = random.Random(2)
+    parts = ["john", "word", "at", "AT", "@", "dot", ".", "com", "12", "168", "1", "2024", "(", ")", "+", "-", "\n", "call", "192 . 168 . 1 . 12", "john at example.com", "988 555 2485"]
+    field, several = pii.trained(), 0
+    for _ in range(150):
+        x = "".join(rng.choice(["xy " * rng.randint(1, 25), rng.choice(parts)]) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 25)))
+        tokens = pii._TOKEN.findall(x)
+        ranges = pii.islands(tokens)
+        assert field.decode(tokens) == [s for a, b in ranges for s in field.decode(tokens, a, b)]
+        assert len(pii._candidates(tokens)) == sum(len(pii._candidates(tokens[a:b])) for a, b in ranges)
+        several += len(ranges) > 1
+    assert several > 20
+
+
 def test_segment_gradient_is_the_derivative():
     rng = np.random.default_rng(0)
     tokens = pii._TOKEN.findall("call (988) 555-2485 now")

@@ -1,12 +1,12 @@
 """Personal data by exact base patterns and a semi-Markov random field.
 
-The base patterns are fixed (see BASE) and always stay.  Between base spans,
-islands of text that hold digits or an at-sign (or its spelt-out form) are cut
-into tokens, and every candidate segment of up to MOST_TOKENS tokens is scored
-as a whole: its shape, digit groups, separators, checksum and the word before
-it.  Dynamic programming over the island's tokens picks boundaries and types
-jointly; a token outside a segment scores nothing.  Text without such islands
-has no feasible segment, so skipping it changes no result.
+The base patterns are fixed (see BASE) and always stay.  The text between base
+spans is cut into tokens, and every candidate segment of up to MOST_TOKENS
+tokens is scored as a whole: its shape, digit groups, separators, checksum and
+the words before it.  Dynamic programming over the tokens picks boundaries and
+types jointly; a token outside a segment scores nothing.  A candidate holds a
+number or an at-mark, so only islands of MOST_TOKENS tokens around these are
+searched; the rest has no candidate, and skipping it changes no result.
 
 The field is trained with numpy on the driver, by the exact gradient of the
 segment likelihood, on spellings made by a seeded generator; it needs no row
@@ -37,15 +37,14 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 MOST_TOKENS = 24
-PAD = 24
+SCORED = 4096
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 Span = tuple[int, int, str]
 
 #: All ip, card and phone matches lie in such a run, all email matches in a run around an at-sign.
 _NUMBERS = re.compile(r"\+?[0-9][0-9 ().+-]*")
 _AFTER_AT = re.compile(r"[A-Za-z0-9._%+@-]*")
-_HINT = re.compile(r"[0-9](?:[^\w\s]*\s?[0-9]){3}|@|[\[({<]\s?(?:at|AT)\s?[\])}>]")
-_SPELT = re.compile(r"\S+ at \S+ dot \S+")
+_SEED = re.compile(r"[0-9@]|[aA][tT]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 
 
@@ -90,36 +89,33 @@ def base_spans(text: str) -> list[Span]:
     return [s for k in KINDS for s in found[k]]
 
 
-def islands(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Ranges outside the taken spans around what may be personal data."""
-    hints = [(m.start(), m.end()) for m in _HINT.finditer(text)]
-    if " dot " in text:
-        hints += [(m.start(), m.end()) for m in _SPELT.finditer(text)]
-    if not hints:
-        return []
-    ranges: list[list[int]] = []
-    for a, b in sorted(hints):
-        a, b = max(0, a - PAD), min(len(text), b + PAD)
-        if ranges and a <= ranges[-1][1]:
-            ranges[-1][1] = max(b, ranges[-1][1])
-        else:
-            ranges.append([a, b])
-    out, cuts = [], sorted((a, b) for a, b, _ in taken)
-    for a, b in ranges:
-        for c, d in cuts:
-            if c < b and d > a:
-                if c > a:
-                    out.append((a, c))
-                a = max(a, d)
-        if a < b:
-            out.append((a, b))
-    return [(a, b) for a, b in out if _HINT.search(text, a, b) or _SPELT.search(text, a, b)]
+def gaps(text: str, taken: list[Span]) -> list[tuple[int, int]]:
+    """Ranges outside the taken spans."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for a, b, _ in taken):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return out + [(at, len(text))] if at < len(text) else out
+
+
+def islands(tokens: list[str]) -> list[tuple[int, int]]:
+    """Ranges of tokens that hold all candidates: MOST_TOKENS around every number and at-mark."""
+    out: list[list[int]] = []
+    for s, t in enumerate(tokens):
+        if t[0] in "0123456789" or t in ("@", "at", "At", "AT", "aT"):
+            a, b = max(0, s - MOST_TOKENS + 1), min(len(tokens), s + MOST_TOKENS)
+            if out and a < out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 _WORDS = {"phone": {"phone", "call", "tel", "mobile", "fax", "telefon", "fon"}, "card": {"card", "visa", "iban", "karte", "tarjeta", "carte"}, "ip": {"ip", "host", "server", "address"}, "email": {"mail", "email", "contact", "write"}}
 NAMES = (
     ["bias", "tokens", "has_letters", "outer_space", "digits_4_9", "digits_10_11", "digits_12_15", "digits_16_19", "digits_20", "luhn16", "groups_1", "groups_2", "groups_3", "groups_4", "groups_5"]
-    + ["four_octets", "even_groups", "ends_4", "group_333_4", "plus", "brackets", "dots", "dashes", "spaces", "colon_slash", "comma_money", "other_marks", "at_sign", "at_word", "dot_word", "dot_after_at", "long_tail", "digit_neighbour", "letter_neighbour", "line_break", "words_3", "mixed_separators"]
+    + ["four_octets", "even_groups", "ends_4", "group_333_4", "plus", "brackets", "dots", "dashes", "spaces", "colon_slash", "comma_money", "other_marks", "at_sign", "at_word", "dot_word", "dot_after_at", "long_tail", "digit_neighbour", "letter_neighbour", "line_break", "words_3", "mixed_separators", "sentence_end", "one_host"]
     + ["near_" + k for k in KINDS]
 )
 FEATURES = len(NAMES)
@@ -175,6 +171,10 @@ def features(tokens: list[str], i: int, j: int) -> np.ndarray:
     pos = seg.index("@") if at else word
     f["dot_after_at"] = pos > 0 and (("." in seg[pos:]) or "dot" in [t.lower() for t in seg[pos:]])
     f["long_tail"] = bool(letters) and pos > 0 and 2 <= len(seg[-1]) <= 4 and seg[-1].isalpha() and seg[-1].lower() not in ("at", "dot")
+    f["sentence_end"] = any(t in ".!?" and not seg[k].isspace() and seg[k + 2].isspace() for k, t in enumerate(seg[1:-1]))
+    # one word between the at-mark and the first dot, spelt out or not
+    tail = [t.lower() for t in seg[pos + 1 :] if not t.isspace() and t not in "()[]{}<>"] if pos > 0 else []
+    f["one_host"] = len(tail) > 2 and tail[0].isalnum() and tail[1] in (".", "dot")
     before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
     f["digit_neighbour"] = before[0] in "0123456789.-:/$#" or after[0] in "0123456789-:/%"
     f["letter_neighbour"] = before[0].isalpha() or after[0].isalpha()
@@ -191,31 +191,33 @@ class Field:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def decode(self, tokens: list[str]) -> list[tuple[int, int, str]]:
-        """The best segmentation: (first token, end, type)."""
-        spans = _candidates(tokens)
+    def decode(self, tokens: list[str], first: int = 0, stop: int | None = None) -> list[tuple[int, int, str]]:
+        """The best segmentation of tokens[first:stop]: (first token, end, type); the tokens around are context."""
+        spans = _candidates(tokens[first:stop])
         if not spans:
             return []
-        scores = np.array([features(tokens, i, j) for i, j in spans]) @ self.weights.T
+        parts = (spans[k : k + SCORED] for k in range(0, len(spans), SCORED))
+        scores = np.concatenate([np.array([features(tokens, first + i, first + j) for i, j in part]) @ self.weights.T for part in parts])
         kind = scores.argmax(1)
         top = scores[np.arange(len(spans)), kind]
         ending: dict[int, list[int]] = {}
         for c, (_, j) in enumerate(spans):
             if top[c] > 0:
                 ending.setdefault(j, []).append(c)
-        best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
+        n = len(tokens[first:stop])
+        best, back = [0.0] * (n + 1), [-1] * (n + 1)
+        for j in range(1, n + 1):
             best[j] = best[j - 1]
             for c in ending.get(j, ()):
                 if best[spans[c][0]] + top[c] > best[j]:
                     best[j], back[j] = best[spans[c][0]] + top[c], c
-        out, j = [], len(tokens)
+        out, j = [], n
         while j > 0:
             if back[j] < 0:
                 j -= 1
             else:
                 i, end = spans[back[j]]
-                out.append((i, end, KINDS[kind[back[j]]]))
+                out.append((first + i, first + end, KINDS[kind[back[j]]]))
                 j = i
         return out[::-1]
 
@@ -248,11 +250,14 @@ def _spellings(rng: np.random.Generator) -> tuple[str, str | None]:
     pick = lambda *x: x[r(0, len(x))]
     word = lambda: "".join(chr(97 + r(0, 26)) for _ in range(r(3, 9)))
     number = lambda n: "".join(str(r(0, 10)) for _ in range(n))
-    kind = pick("email", "ip", "card", "phone", None, None, None)
+    kind = pick("email", "ip", "card", "phone", None, None, None, "prose")
+    if kind == "prose":  # sentences around an at
+        some = lambda: pick("", f" {word()}", f" {word()} {word()}", f", {word()}")
+        return f"{word()}{some()}{pick('', ',', '.')}{pick(' ', chr(10))}{pick('at', 'at', 'At')}{some()}{pick('.', '.', '.', '!', '?')}{pick(' ', ' ', chr(10))}{pick(word(), word()[:3], word()[:2]).capitalize()}{some()}", None
     if kind == "email":
         name = word() + pick("", "." + word(), number(2))
         host, tail = word(), pick("com", "org", "net", "de")
-        return name + pick(f" at {host} dot {tail}", f" (at) {host} (dot) {tail}", f"(at){host}.{tail}", f" [at] {host} [dot] {tail}", f" @ {host}.{tail}", f" @ {host} . {tail}"), kind
+        return name + pick(f" at {host} dot {tail}", f" (at) {host} (dot) {tail}", f"(at){host}.{tail}", f" [at] {host} [dot] {tail}", f" @ {host}.{tail}", f" @ {host} . {tail}", f" at {host}.{tail}"), kind
     if kind == "ip":
         return pick(" . ", "[.]", "(.)", " .").join(str(r(0, 256)) for _ in range(4)), kind
     if kind == "card":
@@ -302,11 +307,16 @@ def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
         return [], []
     base = base_spans(text)
     added: list[Span] = []
-    for a, b in islands(text, base):
+    for a, b in gaps(text, base):
+        if not _SEED.search(text, a, b):
+            continue
         tokens = _TOKEN.findall(text[a:b])
+        found = [s for first, stop in islands(tokens) for s in field.decode(tokens, first, stop)]
+        if not found:
+            continue
         at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]) + a
-        # whole tokens only: an island's edge may cut one
-        added += [(int(at[i]), int(at[j]), k) for i, j, k in field.decode(tokens) if (i or a == 0 or not text[a - 1].isalnum()) and (j < len(tokens) or b == len(text) or not text[b].isalnum())]
+        # whole tokens only: a base span's edge may cut one
+        added += [(int(at[i]), int(at[j]), k) for i, j, k in found if (i or a == 0 or not text[a - 1].isalnum()) and (j < len(tokens) or b == len(text) or not text[b].isalnum())]
     return base, added
 
 
