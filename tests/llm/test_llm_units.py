@@ -186,6 +186,17 @@ def test_decontamination_against_brute_force():
         assert decontamination.spans_of(x, index) == (set(), [])
 
 
+def test_excerpts_are_found_at_every_offset():
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    item = words(50)
+    index = decontamination.Index([(3, item)])
+    length, before, after = 60 + 10 - 1, words(40), words(40)
+    for a in range(len(item) - length + 1):
+        if " " not in (item[a], item[a + length - 1]):
+            assert decontamination.spans_of(f"{before} {item[a : a + length]} {after}", index)[0] == {3}, a
+
+
 def test_alignment_budget():
     p = np.frombuffer("abcdefghijklmnop".encode("utf-32-le"), "<u4")
     t = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4")

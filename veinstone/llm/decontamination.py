@@ -2,7 +2,10 @@
 
 Texts and benchmark items are normalised (lower case; runs of anything but
 letters and digits are one space).  An item is searched for as windows of
-WINDOW characters, half overlapping; a shorter item is one window.  A window of
+WINDOW characters, half overlapping (a shorter item is one window), and for
+excerpts of SHORT characters at every STRIDE.  So a verbatim excerpt of
+SHORT + STRIDE - 1 characters holds a whole window wherever it begins in its
+item; shorter ones of a longer item may not.  A window of
 w characters found with at most k = floor(RATE * w) edits shares at least
 w - Q + 1 - k * Q of its q-grams with the text, within diagonals that differ by
 k at most.  So shared q-grams are counted in overlapping diagonal bands, bands
@@ -29,8 +32,10 @@ from veinstone.llm.common import filter_texts, map_frames, read_table, small_bat
 
 Q = 10
 WINDOW = 100
+SHORT, STRIDE = 60, 10
 RATE = 0.08
-BLOCK_CHARS = 2_000_000
+#: Each character is in about 2 + SHORT / STRIDE windows, so a block makes some seven times as many q-grams.
+BLOCK_CHARS = 600_000
 _P = 0x9E3779B97F4A7C15 | 1
 _BITS = 20
 OUT = "doc_id long, contaminated boolean, n_items long, item_ids string, spans string"
@@ -88,8 +93,11 @@ class Index:
             if len(points) < Q:
                 continue
             last = max(0, len(points) - WINDOW)
-            for a in sorted({*range(0, last, WINDOW // 2), last}):
-                self.windows.append(points[a : a + WINDOW])
+            ranges = {(a, min(len(points), a + WINDOW)) for a in (*range(0, last, WINDOW // 2), last)}
+            tail = max(0, len(points) - SHORT)
+            ranges |= {(a, min(len(points), a + SHORT)) for a in (*range(0, tail, STRIDE), tail)}
+            for a, b in sorted(ranges):
+                self.windows.append(points[a:b])
                 self.item.append(item)
         self.budget = np.array([int(RATE * len(w)) for w in self.windows], np.int64)
         self.bound = np.array([max(1, len(w) - Q + 1 - int(RATE * len(w)) * Q) for w in self.windows], np.int64)
