@@ -273,3 +273,11 @@ def test_near_dedup_stage_drops_copies_between_80_and_85_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == [1, 3]
     assert {r["doc_id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()} == {1, 2, 3}
+
+
+def test_chat_links_parts_of_messages(spark):
+    first = "One paragraph about bread and flour.\n\nTwo lines of text stand\nin this middle part. Then comes another whole sentence.\n\nThe third paragraph ends it all."
+    quotes = ["> One paragraph about bread and flour.\n>\n> Two lines of text stand\n> in this middle part. Then comes another whole sentence.", "> Two lines of text stand", "> Then comes another whole sentence.", "> nobody ever wrote these words"]
+    rows = [(1, 0, "user", first), (1, 1, "assistant", "something else")] + [(1, 2 + k, "user", q + "\nreply") for k, q in enumerate(quotes)]
+    got = {r["turn"]: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t]["reply_turn"], got[t]["linked_by"], got[t]["n_quoted"], got[t]["n_linked"]) for t in (2, 3, 4, 5)] == [(0, "quote", 1, 1)] * 3 + [(4, "previous", 1, 0)]

@@ -1,12 +1,16 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with `>` marks are quotes, their level the number of marks;
-neighbouring lines of one level make a passage.  A message's own passages are
-its unquoted paragraphs and its whole unquoted text.  Passages are normalised
-(lower case, letters and digits only) and hashed; a quoted passage joins to the
-earliest message that holds it as its own, first in the same conversation, then
-anywhere earlier (passages of LEAST_WORDS words at least).  The lowest level
-that joins names the message replied to; without one it is the turn before.
+neighbouring lines of one level make a passage.  Quoted passages and a message's
+unquoted text give the same units: the whole, its paragraphs, lines and
+sentences, normalised (lower case, letters and digits only) and hashed.  A unit
+joins to the earliest message that holds it, first in the same conversation,
+then anywhere earlier; parts of a quote, and any unit across conversations, need
+LEAST_WORDS words.  The lowest level that joins, and in it a whole quote before
+its parts, names the message replied to; without one it is the turn before.
+Parts of a sentence join nothing.  Messages have no time, so earlier means a
+smaller conv_id: an original in a later-numbered conversation is not linked, for
+a reply must come after its original and links must make no circle.
 
 Originals are reduced to one row per passage before the join, so passages that
 many messages share make no pairs.  Conversations linked by quotes form one
@@ -31,6 +35,7 @@ LEAST_WORDS = 4
 CHUNK = 10_000
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)+ ?")
 _PLAIN = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def passage_hash(text: str) -> tuple[int, int] | None:
@@ -59,10 +64,20 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines, _ in quoted]
 
 
+def units(text: str) -> list[tuple[int, int, bool]]:
+    """(hash, words, whether a part) of the whole text first, then of its paragraphs, lines and sentences, each hash once."""
+    paragraphs = re.split(r"\n[ \t]*\n", text)
+    parts = [*paragraphs, *text.split("\n"), *(s for p in paragraphs for s in _SENTENCE.split(p))]
+    out: dict[int, tuple[int, int, bool]] = {}
+    for k, p in enumerate([text, *parts]):
+        if h := passage_hash(p):
+            out.setdefault(h[0], (*h, k > 0))
+    return list(out.values())
+
+
 def own_passages(text: str) -> set[int]:
-    """Hashes of the whole text and of its paragraphs."""
-    parts = [text, *re.split(r"\n[ \t]*\n", text)]
-    return {h[0] for p in parts if (h := passage_hash(p))}
+    """Hashes of the whole text and of its paragraphs, lines and sentences."""
+    return {h for h, _, _ in units(text)}
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -71,13 +86,13 @@ def _parsed(messages: DataFrame) -> DataFrame:
             rows = []
             for text in b["text"]:
                 own, quoted = parse(text)
-                hashes = [(level, *h) for level, q in quoted if (h := passage_hash(q))]
-                rows.append((own, sorted(own_passages(own)), [{"level": x, "hash": h, "words": w} for x, h, w in hashes], len(quoted)))
+                hashes = [(k, level, *u) for k, (level, q) in enumerate(quoted) for u in units(q)]
+                rows.append((own, sorted(own_passages(own)), [{"quote": k, "level": x, "hash": h, "words": w, "part": p} for k, x, h, w, p in hashes], len(quoted)))
             yield pd.concat([b.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=["own", "passages", "quotes", "n_quoted"])], axis=1)
 
     small_batches(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return map_frames(rows, run, "conv_id long, turn long, role string, own string, passages array<long>, quotes array<struct<level:int,hash:long,words:int>>, n_quoted long")
+    return map_frames(rows, run, "conv_id long, turn long, role string, own string, passages array<long>, quotes array<struct<quote:int,level:int,hash:long,words:int,part:boolean>>, n_quoted long")
 
 
 def _previous(places: DataFrame) -> DataFrame:
@@ -93,7 +108,7 @@ def link(messages: DataFrame) -> DataFrame:
     """A row per message: conv_id, turn, role, thread_id, reply_conv, reply_turn, linked_by, n_quoted, n_linked, text and chat."""
     parsed = materialize(_parsed(messages).withColumn("mid", F.monotonically_increasing_id()), "messages")
     placed = parsed.where("conv_id is not null and turn is not null")
-    quotes = placed.where(F.size("quotes") > 0).select("mid", "conv_id", "turn", F.explode("quotes").alias("q")).select("mid", "conv_id", "turn", "q.level", "q.hash", "q.words")
+    quotes = placed.where(F.size("quotes") > 0).select("mid", "conv_id", "turn", F.explode("quotes").alias("q")).select("mid", "conv_id", "turn", "q.quote", "q.level", "q.hash", "q.words", "q.part").where(~F.col("part") | (F.col("words") >= LEAST_WORDS))
     wanted = quotes.select("hash").distinct()
     own = placed.select("conv_id", "turn", F.explode("passages").alias("hash")).join(wanted, "hash", "left_semi")
     in_conv = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("in_turn"))
@@ -102,7 +117,7 @@ def link(messages: DataFrame) -> DataFrame:
     inside = F.col("in_turn") < F.col("turn")
     earlier = (F.col("words") >= LEAST_WORDS) & (F.col("first") < F.struct("conv_id", "turn"))
     found = found.withColumn("target", F.when(inside, F.struct("conv_id", F.col("in_turn").alias("turn"))).when(earlier, F.col("first")))
-    best = found.where("target is not null").groupBy("mid").agg(F.min(F.struct("level", F.when(inside, 0).otherwise(1).alias("far"), "target")).alias("b"), F.count(F.lit(1)).alias("n_linked"))
+    best = found.where("target is not null").groupBy("mid").agg(F.min(F.struct("level", "part", F.when(inside, 0).otherwise(1).alias("far"), "target")).alias("b"), F.count_distinct("quote").alias("n_linked"))
     best = materialize(best.select("mid", F.col("b.target.conv_id").alias("q_conv"), F.col("b.target.turn").alias("q_turn"), "n_linked"), "quote-links")
 
     rows = parsed.drop("passages", "quotes").join(best, "mid", "left").join(_previous(placed.select("conv_id", "turn").distinct()), ["conv_id", "turn"], "left")
