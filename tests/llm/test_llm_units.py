@@ -198,11 +198,63 @@ def test_excerpts_are_found_at_every_offset():
 
 
 def test_alignment_budget():
-    p = np.frombuffer("abcdefghijklmnop".encode("utf-32-le"), "<u4")
     t = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4")
-    assert decontamination.align(p, t("xxabcdefghijklmnopxx"), 2, 2, 0) == (2, 18)
-    assert decontamination.align(p, t("xxabcdefgijklmnopxx"), 2, 2, 1) == (2, 17)
-    assert decontamination.align(p, t("xxabcdefgijklmnopxx"), 2, 2, 0) is None
+    p = t("abcdefghijklmnop")[None]
+    one = lambda x, k: tuple(v.tolist()[0] for v in decontamination.align(p, t(x), np.array([2]), 1, k))
+    assert one("xxabcdefghijklmnopxx", 0) == (True, 2, 18)
+    assert one("xxabcdefgijklmnopxx", 1) == (True, 2, 17)
+    assert not one("xxabcdefgijklmnopxx", 0)[0]
+
+
+def _edits(pattern, x):
+    """The fewest edits with which pattern occurs somewhere in x."""
+    row = [0] * (len(x) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, d in enumerate(x):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_windows_found_are_those_within_their_budget():
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    shared = words(20)
+    items = [(i, f"{shared} {words(15)}") for i in range(6)]
+    index = decontamination.Index(items)
+    for _ in range(12):
+        x = list(f"{words(20)} {rng.choice([shared, items[3][1]])} {words(20)} {shared} {words(9)}")
+        for _ in range(rng.choice([0, 3, 9, 20])):
+            x[rng.randrange(len(x))] = rng.choice(["", "z", "zz"])
+        x = "".join(x)
+        points = decontamination.normalise(x)[0]
+        plain = "".join(map(chr, points.tolist()))
+        want = set()
+        for w in range(len(index.windows)):
+            if _edits("".join(map(chr, index.windows[w].tolist())), plain) <= index.budget[w]:
+                want |= set(index.items(np.array([w]))[0].tolist())
+        assert index.search([x])[0][0] == want
+
+
+def test_many_items_with_a_common_head(monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    head = words(30)[:97]
+    index = decontamination.Index([(i, f"{head} {words(12)}") for i in range(400)])
+    x = " and ".join(head for _ in range(20))
+    whole = index.search([x, words(60)])
+    assert whole[0][0] == set(range(400)) and whole[1] == (set(), [])
+    monkeypatch.setattr(decontamination, "MOST_HITS", 2000)  # memory is bounded by ranges of windows, with equal results
+    assert index.search([x])[0] == whole[0]
+
+
+def test_repetitive_text_and_items(monkeypatch):
+    index = decontamination.Index([(1, "a" * 400), (2, "ab " * 60), (3, "tiny"), (4, "--")])
+    assert index.search(["a" * 20_000]) == [({1}, [(0, 20_000)])]
+    monkeypatch.setattr(decontamination, "MOST_HITS", 5000)
+    monkeypatch.setattr(decontamination, "SLICE", 4096)
+    assert index.search(["a" * 20_000, "x" + "ab " * 500, "  Tiny.", "a tiny one", "--"]) == [({1}, [(0, 20_000)]), ({2}, [(0, 1501)]), ({3}, [(2, 6)]), (set(), []), (set(), [])]
 
 
 def test_list_decoding_finds_what_exceeds():

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, materialize, read_table, small_batches
+from veinstone.llm.common import map_frames, materialize, read_table
 from veinstone.llm.near_dedup import components
 
 LEAST_WORDS = 4
@@ -90,7 +90,6 @@ def _parsed(messages: DataFrame) -> DataFrame:
                 rows.append((own, sorted(own_passages(own)), [{"quote": k, "level": x, "hash": h, "words": w, "part": p} for k, x, h, w, p in hashes], len(quoted)))
             yield pd.concat([b.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=["own", "passages", "quotes", "n_quoted"])], axis=1)
 
-    small_batches(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return map_frames(rows, run, "conv_id long, turn long, role string, own string, passages array<long>, quotes array<struct<quote:int,level:int,hash:long,words:int,part:boolean>>, n_quoted long")
 

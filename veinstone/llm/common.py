@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -22,13 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests, a laptop) is one made here.
+    Only where a local session has none (tests, a laptop) is one made here: on
+    a cluster a folder of one machine would lose rows, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         hadoop_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = hadoop_dir.get() if hadoop_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "veinstone-checkpoint")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -59,9 +62,14 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows that cross to Python at once: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and, unless one row alone is larger, `size` bytes: texts can be long."""
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > size):
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), rows, size)
+        yield from slices(batch.slice(half), rows, size)
+    else:
+        yield batch
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,13 +80,13 @@ def held_out(doc_id: Column) -> Column:
 _NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
 
 
-def map_frames(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
-    """mapInPandas in which integer columns with nulls stay integers, so that ids keep all their digits."""
+def map_frames(df: DataFrame, run: Callable, ddl: str, rows: int = 512) -> DataFrame:
+    """mapInPandas on small parts, in which integer columns with nulls stay integers, so that ids keep all their digits."""
     schema = T._parse_datatype_string(ddl)
     arrow = to_arrow_schema(schema)
 
     def go(batches):
-        for out in run(b.to_pandas(types_mapper=_NULLABLE.get) for b in batches):
+        for out in run(part.to_pandas(types_mapper=_NULLABLE.get) for b in batches for part in slices(b, rows)):
             yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
 
     return df.mapInArrow(go, schema)
@@ -89,6 +97,7 @@ def filter_texts(df: DataFrame, keep: Callable[[list], list]) -> DataFrame:
 
     def go(batches):
         for b in batches:
-            yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
+            for part in slices(b):
+                yield part.filter(pa.array(keep(part.column("text").to_pylist()), pa.bool_()))
 
     return df.mapInArrow(go, df.schema)

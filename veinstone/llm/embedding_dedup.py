@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, materialize, read_table, small_batches
+from veinstone.llm.common import map_frames, materialize, read_table
 from veinstone.llm.near_dedup import MOST_SENT, components
 
 LINK = 0.9
@@ -118,7 +118,6 @@ def usable(vectors: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(np.asarray(e, np.float64).tobytes()))
             yield pd.DataFrame({"vec_id": b["vec_id"], "key": keys, "unit": raw})
 
-    small_batches(vectors.sparkSession, 4096)
     return map_frames(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, key binary, unit binary")
 
 
@@ -146,7 +145,6 @@ def filters(nodes: DataFrame, size: int, vectors: bool) -> DataFrame:
                     out |= {"times": np.repeat(b["times"].to_numpy()[rows], each), "unit": units[take], "filters": raw}
                 yield pd.DataFrame(out)
 
-    small_batches(nodes.sparkSession)
     return nodes.mapInPandas(run, "filter long, nid long" + ", times long, unit binary, filters binary" * vectors)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import discard, map_frames, materialize, read_table, small_batches
+from veinstone.llm.common import discard, map_frames, materialize, read_table
 from veinstone.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 5
@@ -118,7 +118,6 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                 regs.append(known[key])
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": [len(s) for s in sets], "set_id": ids, "registers": regs})
 
-    small_batches(docs.sparkSession)
     return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, n_shingles long, set_id binary, registers binary")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, materialize, read_table, small_batches
+from veinstone.llm.common import map_frames, materialize, read_table
 from veinstone.llm.tokenizing import word_encoder
 
 LENGTH = 2048
@@ -159,7 +159,6 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFra
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    small_batches(docs.sparkSession)
     return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 

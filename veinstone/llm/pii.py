@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, read_table, small_batches
+from veinstone.llm.common import map_frames, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns by kind.
@@ -351,7 +351,6 @@ def find(docs: DataFrame) -> DataFrame:
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    small_batches(docs.sparkSession)
     return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OUT)
 
 
@@ -372,7 +371,6 @@ def redacted(docs: DataFrame) -> DataFrame:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, old.to_pylist())], old.type)
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in b.schema.names], schema=b.schema)
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import held_out, map_frames, read_table, small_batches
+from veinstone.llm.common import held_out, map_frames, read_table
 from veinstone.llm.labelled import training_rows
 
 BUCKETS = 4096
@@ -97,7 +97,6 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame(total[used], columns=columns).assign(bucket=used)[["bucket", *columns]]
 
-    small_batches(docs.sparkSession)
     parts = docs.select("text").mapInPandas(run, "bucket int, " + ", ".join(f"{c} double" for c in columns))
     rows = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # BUCKETS rows at most
     out = np.zeros((BUCKETS, DIM))
@@ -170,7 +169,6 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = M
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [pool(shared.value, codes(t)).tobytes() for t in b["text"]]})
 
-    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "quality", most).mapInPandas(run, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, 2 * DIM + SHAPES + 1))
     return fit(x, np.array([r["y"] for r in rows], float))
@@ -178,7 +176,6 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = M
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every document."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches):

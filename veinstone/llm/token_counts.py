@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, read_table, small_batches
+from veinstone.llm.common import map_frames, read_table
 from veinstone.llm.tokenizing import PieceEncoder, piece_encoder
 
 CHUNK = 16_384
@@ -70,7 +70,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, chunk: int = CHU
             n = [count_by_chunks(encoder, t, chunk, overlap) if len(t) > chunk else k for t, k in zip(texts, n)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
 
-    small_batches(docs.sparkSession)
     return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OUT)
 
 

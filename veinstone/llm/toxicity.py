@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import filter_texts, held_out, map_frames, read_table, small_batches
+from veinstone.llm.common import filter_texts, held_out, map_frames, read_table
 from veinstone.llm.labelled import training_rows
 
 SPACE = 1 << 18
@@ -141,7 +141,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Factoriz
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "terms": [document_terms(t).tobytes() for t in b["text"]]})
 
-    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", most).mapInPandas(run, "doc_id long, y int, terms binary").orderBy("doc_id", "y", "terms").limit(most).collect()
     return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["y"] for r in rows], float))
 
@@ -149,7 +148,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Factoriz
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most SPACE * (FACTORS + 2) numbers
 
     def run(batches):
@@ -164,7 +162,6 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5,
 def keep_clean(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold, with their own columns."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     return filter_texts(docs, lambda texts: shared.value.scores([document_terms(t) for t in texts]) < threshold)
 
