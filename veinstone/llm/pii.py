@@ -4,9 +4,12 @@ The base patterns are fixed (see BASE) and always stay.  The text between base
 spans is cut into tokens, and every candidate segment of up to MOST_TOKENS
 tokens is scored as a whole: its shape, digit groups, separators, checksum and
 the words before it.  Dynamic programming over the tokens picks boundaries and
-types jointly; a token outside a segment scores nothing.  A candidate holds a
-number or an at-mark, so only islands of MOST_TOKENS tokens around these are
-searched; the rest has no candidate, and skipping it changes no result.
+types jointly; a token outside a segment scores nothing.  A candidate holds
+four digits or an at-mark, so only tokens from which MOST_TOKENS tokens reach
+these begin one; the others have no candidate, and skipping them changes no
+result.  Candidates are scored in blocks of SCORED first tokens, so memory is
+bounded by a text's tokens and time grows with its length, long runs of digits
+and tables of numbers included.
 
 The field is trained with numpy on the driver, by the exact gradient of the
 segment likelihood, on spellings made by a seeded generator; it needs no row
@@ -16,8 +19,10 @@ every row is handled on its own and whole.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, read_table
+from veinstone.llm.common import map_frames, read_table, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns by kind.
@@ -37,14 +42,18 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 MOST_TOKENS = 24
-SCORED = 4096
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCORED = 2048
+OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, " + ", ".join(f"n_all_{k} long" for k in KINDS)
 Span = tuple[int, int, str]
 
 #: All ip, card and phone matches lie in such a run, all email matches in a run around an at-sign.
 _NUMBERS = re.compile(r"\+?[0-9][0-9 ().+-]*")
-_AFTER_AT = re.compile(r"[A-Za-z0-9._%+@-]*")
-_SEED = re.compile(r"[0-9@]|[aA][tT]")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: The base patterns with the same matches in linear time: a run of digits is tried from its first digit only, as a
+#: later one can match only where the first does, and what repeats gives nothing back.
+_QUICK = BASE | {"ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++")}
+#: What any candidate holds one of: a number, an at-sign or the word at. One set of first characters makes the scan fast.
+_SEED = re.compile(r"[0-9@aA](?:(?<=[0-9])[0-9]*|(?<=@)|(?<=[aA])[tT](?<![^\W\d_][aA][tT])(?![^\W\d_]))")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 
 
@@ -67,23 +76,33 @@ def _valid(kind: str, s: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
-def base_spans(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of every kind that pass its check, in order of kind and start."""
-    found: dict[str, list[Span]] = {k: [] for k in KINDS}
-    at, done = text.find("@"), 0
+def _emails(text: str) -> list[Span]:
+    """The email pattern's matches, at-sign by at-sign: each looks at its own run of name characters only."""
+    out, done = [], 0
+    at = text.find("@")
     while at >= 0:
         left = at
-        while left > done and (c := text[left - 1]) < "\x7f" and (c.isalnum() or c in "._%+@-"):
+        while left > done and (c := text[left - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
             left -= 1
-        right = _AFTER_AT.match(text, at).end()
-        found["email"] += [(m.start(), m.end(), "email") for m in BASE["email"].finditer(text, left, right)]
-        done = right
-        at = text.find("@", right)
+        m = _HOST.match(text, at + 1) if left < at else None
+        if m:
+            out.append((left, m.end(), "email"))
+            done = m.end()
+        else:
+            done = at + 1
+        at = text.find("@", done)
+    return out
+
+
+def base_spans(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches of every kind that pass its check, in order of kind and start."""
+    found: dict[str, list[Span]] = {k: [] for k in KINDS}
+    found["email"] = _emails(text)
     for run in _NUMBERS.finditer(text):
         if run.end() - run.start() < 7:
             continue
         for kind in KINDS[1:]:
-            for m in BASE[kind].finditer(text, run.start(), run.end()):
+            for m in _QUICK[kind].finditer(text, run.start(), run.end()):
                 if _valid(kind, m[0]):
                     found[kind].append((m.start(), m.end(), kind))
     return [s for k in KINDS for s in found[k]]
@@ -99,19 +118,6 @@ def gaps(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     return out + [(at, len(text))] if at < len(text) else out
 
 
-def islands(tokens: list[str]) -> list[tuple[int, int]]:
-    """Ranges of tokens that hold all candidates: MOST_TOKENS around every number and at-mark."""
-    out: list[list[int]] = []
-    for s, t in enumerate(tokens):
-        if t[0] in "0123456789" or t in ("@", "at", "At", "AT", "aT"):
-            a, b = max(0, s - MOST_TOKENS + 1), min(len(tokens), s + MOST_TOKENS)
-            if out and a < out[-1][1]:
-                out[-1][1] = b
-            else:
-                out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 _WORDS = {"phone": {"phone", "call", "tel", "mobile", "fax", "telefon", "fon"}, "card": {"card", "visa", "iban", "karte", "tarjeta", "carte"}, "ip": {"ip", "host", "server", "address"}, "email": {"mail", "email", "contact", "write"}}
 NAMES = (
     ["bias", "tokens", "has_letters", "outer_space", "digits_4_9", "digits_10_11", "digits_12_15", "digits_16_19", "digits_20", "luhn16", "groups_1", "groups_2", "groups_3", "groups_4", "groups_5"]
@@ -121,68 +127,149 @@ NAMES = (
 FEATURES = len(NAMES)
 
 
-def _candidates(tokens: list[str]) -> list[tuple[int, int]]:
-    """Segments that start and end on a word, number or opening sign and hold four digits or an at-mark."""
-    digits = [len(t) if t[0] in "0123456789" else 0 for t in tokens]
-    marks = [t == "@" or t.lower() == "at" for t in tokens]
-    starts = [i for i, t in enumerate(tokens) if t[0].isalnum() or t in "+(["]
-    out = []
-    for i in starts:
-        n = mark = 0
-        for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-            n += digits[j]
-            mark |= marks[j]
-            t = tokens[j]
-            if "\n" in t and j > i and n > 30:
-                break
-            if t[0].isalnum() and (n >= 4 or (mark and j - i >= 4)) and j > i:
-                out.append((i, j + 1))
-            elif t[0].isalnum() and n >= 8:
-                out.append((i, j + 1))
-    return out
-
-
-def features(tokens: list[str], i: int, j: int) -> np.ndarray:
-    """What the whole segment tokens[i:j] looks like."""
-    seg = tokens[i:j]
-    f = dict.fromkeys(NAMES, 0.0)
-    groups = [t for t in seg if t[0] in "0123456789"]
-    letters = [t.lower() for t in seg if t[0].isalpha()]
-    marks = "".join(t for t in seg if not t[0].isalnum() and not t[0].isspace())
-    n = sum(map(len, groups))
-    f["bias"], f["tokens"] = 1, len(seg) / 10
-    f["digits_4_9"], f["digits_10_11"], f["digits_12_15"], f["digits_16_19"], f["digits_20"] = 4 <= n <= 9, 10 <= n <= 11, 12 <= n <= 15, 16 <= n <= 19, n >= 20
-    f["luhn16"] = 16 <= n <= 19 and luhn("".join(groups))
-    f[f"groups_{min(5, max(1, len(groups)))}"] = 1
-    f["four_octets"] = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
-    f["even_groups"] = len(groups) > 2 and len(set(map(len, groups))) == 1
-    f["ends_4"] = bool(groups) and len(groups[-1]) == 4
-    f["group_333_4"] = [len(g) for g in groups[-3:]] == [3, 3, 4]
-    f["plus"], f["brackets"] = seg[0] == "+", "(" in marks and ")" in marks
-    f["dots"], f["dashes"], f["colon_slash"], f["comma_money"] = "." in marks, "-" in marks, ":" in marks or "/" in marks, "," in marks or "$" in marks or "€" in marks
-    f["other_marks"] = bool(set(marks) - set("+()[]{}<>.-_@:/,$€"))
-    spaces = [t for t in seg if t.isspace()]
-    f["spaces"], f["line_break"] = bool(spaces), any("\n" in t for t in spaces)
-    f["mixed_separators"] = len({t for t in seg if not t.isalnum()}) > 2
-    f["has_letters"], f["words_3"] = bool(letters), len(letters) > 4
-    at = "@" in seg
-    word = next((k for k, t in enumerate(seg) if t.lower() == "at"), -1)
-    f["at_sign"], f["at_word"], f["dot_word"] = at, word > 0, "dot" in letters
-    pos = seg.index("@") if at else word
-    f["dot_after_at"] = pos > 0 and (("." in seg[pos:]) or "dot" in [t.lower() for t in seg[pos:]])
-    f["long_tail"] = bool(letters) and pos > 0 and 2 <= len(seg[-1]) <= 4 and seg[-1].isalpha() and seg[-1].lower() not in ("at", "dot")
-    f["sentence_end"] = any(t in ".!?" and not seg[k].isspace() and seg[k + 2].isspace() for k, t in enumerate(seg[1:-1]))
-    # one word between the at-mark and the first dot, spelt out or not
-    tail = [t.lower() for t in seg[pos + 1 :] if not t.isspace() and t not in "()[]{}<>"] if pos > 0 else []
-    f["one_host"] = len(tail) > 2 and tail[0].isalnum() and tail[1] in (".", "dot")
-    before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
-    f["digit_neighbour"] = before[0] in "0123456789.-:/$#" or after[0] in "0123456789-:/%"
-    f["letter_neighbour"] = before[0].isalpha() or after[0].isalpha()
-    f["outer_space"] = before[0].isspace() and (after[0].isspace() or after[0] in ".,;)")
-    near = {t.lower() for t in tokens[max(0, i - 4) : i]}
-    for k in KINDS:
-        f["near_" + k] = bool(near & _WORDS[k])
-    return np.fromiter(map(float, f.values()), float, FEATURES)
+_CLASSES = [
+    ("letter", lambda t: t[0].isalpha()), ("digit", lambda t: t[0] in "0123456789"), ("space", str.isspace), ("alnum", lambda t: t[0].isalnum()),
+    ("at", lambda t: t == "@"), ("at_word", lambda t: t.lower() == "at"), ("dot_word", lambda t: t.lower() == "dot"), ("dot", lambda t: t == "."), ("dash", lambda t: t == "-"),
+    ("open", lambda t: t == "("), ("close", lambda t: t == ")"), ("colon_slash", lambda t: t in ":/"), ("comma_money", lambda t: t in ",$€"),
+    ("other", lambda t: not t[0].isalnum() and not t.isspace() and t not in "+()[]{}<>.-_@:/,$€"), ("newline", lambda t: "\n" in t), ("plus", lambda t: t == "+"), ("opening", lambda t: t in "+(["),
+    ("bracket", lambda t: t in "()[]{}<>"), ("stop", lambda t: t in ".!?"), ("tail", lambda t: 2 <= len(t) <= 4 and t.isalpha() and t.lower() not in ("at", "dot")),
+    ("tied_left", lambda t: t[0] in "0123456789.-:/$#"), ("tied_right", lambda t: t[0] in "0123456789-:/%"), ("ends", lambda t: t.isspace() or t[0] in ".,;)"), ("octet", lambda t: t[0] in "0123456789" and len(t) <= 3 and int(t) <= 255),
+    *((("near_" + k), lambda t, k=k: t.lower() in _WORDS[k]) for k in KINDS),
+]
+_BIT = {name: 1 << k for k, (name, _) in enumerate(_CLASSES)}
+_MEMO, LONG = 200_000, 256
+CONTEXT = 4
+APART = MOST_TOKENS + CONTEXT
+_classes: dict[str, int] = {}
+
+
+def _class(token: str) -> int:
+    """The token's classes as bits, and above them a number that tells separators apart."""
+    bits = sum(_BIT[name] for name, f in _CLASSES if f(token))
+    return bits | ((zlib.crc32(token.encode("utf-8", "replace")) >> 2 | 1) << 32 if not token.isalnum() else 0)
+
+
+class Tokens:
+    """Classes, lengths and digits of the tokens of many stretches of text, as arrays.
+
+    Stretches are parted by blank tokens of no length, so many that no candidate
+    and no context reaches from one into the next.
+    """
+
+    def __init__(self, stretches: list[list[str]]):
+        words = [w for s in stretches for w in s]
+        if len(_classes) > _MEMO:
+            _classes.clear()
+        known, new = _classes, {}
+        for w in set(words):
+            if w not in known:
+                (known if len(w) <= LONG else new)[w] = _class(w)
+        lookup = known | new if new else known
+        counts = np.array([len(s) for s in stretches], np.int64)
+        self.first = np.cumsum(counts + APART) - counts  # each stretch's first token
+        inside = np.repeat(self.first - np.cumsum(counts) + counts, counts) + np.arange(len(words))
+        kind = np.full(int(counts.sum()) + APART * (len(stretches) + 1), lookup.get(" ", _class(" ")), np.int64)
+        size = np.zeros(len(kind), np.int64)
+        kind[inside] = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
+        size[inside] = np.fromiter(map(len, words), np.int64, len(words))
+        digits = [w for w in words if w[0] in "0123456789"]
+        self.n, self.kind = len(kind), kind
+        self.end = np.cumsum(size)
+        number = kind & _BIT["digit"] > 0
+        self.digits = np.where(number, size, 0)
+        self.digits_before = np.concatenate([[0], np.cumsum(self.digits)])
+        value = np.frombuffer("".join(digits).encode(), np.uint8).astype(np.int64) - 48
+        twice = np.where(value > 4, 2 * value - 9, 2 * value)
+        even = np.arange(len(value)) % 2 == 0
+        self.luhn = [np.concatenate([[0], np.cumsum(np.where(even == (k == 0), twice, value))]) for k in (0, 1)]
+        group = np.concatenate([np.zeros(3, np.int64), size[number]])
+        last = np.cumsum(number) + 2
+        self.group = [group[np.maximum(last - k, 0)] for k in range(3)]  # lengths of the last three numbers up to a token
+        name, place = kind >> 32, np.arange(len(kind))
+        order = np.argsort(name, kind="stable")
+        self.same = np.full(len(kind), -1, np.int64)  # the place of the last equal separator
+        again = name[order][1:] == name[order][:-1]
+        self.same[order[1:][again]] = place[order[:-1][again]]
+
+    def starts(self) -> np.ndarray:
+        """Tokens that may begin a candidate: words, numbers and opening signs from which enough digits or an at-mark are in reach."""
+        reach = np.minimum(np.arange(self.n) + MOST_TOKENS, self.n)
+        marks = np.concatenate([[0], np.cumsum(self.kind & (_BIT["at"] | _BIT["at_word"]) > 0)])
+        near = (self.digits_before[reach] - self.digits_before[:-1] >= 4) | (marks[reach] > marks[:-1])
+        return np.flatnonzero(near & (self.kind & (_BIT["alnum"] | _BIT["opening"]) > 0))
+
+    def candidates(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, end, features) of the candidates that begin at these tokens.
+
+        A candidate starts and ends on a word, number or opening sign, has
+        MOST_TOKENS tokens at most, and holds four digits or an at-mark.
+        """
+        column = np.arange(MOST_TOKENS)
+        at = start[:, None] + column
+        valid = at < self.n
+        at = np.minimum(at, self.n - 1)
+        kind = np.where(valid, self.kind[at], 0)
+        has = lambda *names: kind & sum(_BIT[n] for n in names) > 0
+        some = lambda x: np.logical_or.accumulate(x, axis=1)
+        digit_len = np.where(valid, self.digits[at], 0)
+        n = np.cumsum(digit_len, axis=1)
+        marked = some(has("at", "at_word"))
+        broken = some(has("newline") & (column > 0) & (n > 30))
+        row, col = np.nonzero(has("alnum") & valid & ~broken & ((((n >= 4) | marked & (column >= 4)) & (column > 0)) | (n >= 8)))
+        if not len(row):
+            return start[:0], start[:0], np.zeros((0, FEATURES))
+        pick = lambda x: x[row, col]
+        first, last = start[row], start[row] + col
+        letters, groups, total = np.cumsum(has("letter"), axis=1), np.cumsum(has("digit"), axis=1), pick(n)
+        g = pick(groups)
+        f = dict.fromkeys(NAMES)
+        f["bias"], f["tokens"] = np.ones(len(row)), (col + 1) / 10
+        f["digits_4_9"], f["digits_10_11"], f["digits_12_15"], f["digits_16_19"], f["digits_20"] = (total >= 4) & (total <= 9), (total == 10) | (total == 11), (total >= 12) & (total <= 15), (total >= 16) & (total <= 19), total >= 20
+        p = self.digits_before[first]
+        q = p + total
+        f["luhn16"] = f["digits_16_19"] & (np.where(q % 2 == 0, self.luhn[0][q] - self.luhn[0][p], self.luhn[1][q] - self.luhn[1][p]) % 10 == 0)
+        for k in range(1, 6):
+            f[f"groups_{k}"] = np.clip(g, 1, 5) == k
+        f["four_octets"] = (g == 4) & (pick(np.cumsum(has("octet"), axis=1)) == 4)
+        large = np.iinfo(np.int64).max
+        f["even_groups"] = (g > 2) & (pick(np.minimum.accumulate(np.where(has("digit"), digit_len, large), axis=1)) == pick(np.maximum.accumulate(digit_len, axis=1)))
+        f["ends_4"] = (g > 0) & (self.group[0][last] == 4)
+        f["group_333_4"] = (g > 2) & (self.group[0][last] == 4) & (self.group[1][last] == 3) & (self.group[2][last] == 3)
+        f["plus"] = self.kind[first] & _BIT["plus"] > 0
+        f["brackets"] = pick(some(has("open")) & some(has("close")))
+        f["dots"], f["dashes"], f["colon_slash"], f["comma_money"], f["other_marks"] = (pick(some(has(k))) for k in ("dot", "dash", "colon_slash", "comma_money", "other"))
+        f["spaces"], f["line_break"] = pick(some(has("space"))), pick(some(has("newline")))
+        f["mixed_separators"] = pick(np.cumsum((kind >> 32 != 0) & (np.where(valid, self.same[at], large) < start[:, None]), axis=1)) > 2
+        f["has_letters"], f["words_3"] = pick(letters) > 0, pick(letters) > 4
+        sign, word = (np.where((x := has(k)).any(1), x.argmax(1), MOST_TOKENS) for k in ("at", "at_word"))  # first places
+        f["at_sign"] = sign[row] <= col
+        f["at_word"] = (word[row] <= col) & (word[row] > 0)
+        pos = np.where(f["at_sign"], sign[row], np.where(word[row] <= col, word[row], -1))
+        f["dot_word"] = pick(some(has("dot_word")))
+        f["dot_after_at"] = (pos > 0) & (pick(np.maximum.accumulate(np.where(has("dot", "dot_word"), column, -1), axis=1)) >= pos)
+        f["long_tail"] = f["has_letters"] & (pos > 0) & pick(has("tail"))
+        ended = np.zeros(kind.shape, bool)
+        ended[:, 2:] = some(has("stop")[:, 1:-1] & ~has("space")[:, :-2] & has("space")[:, 2:])
+        f["sentence_end"] = pick(ended)
+        hosts = []
+        for mark in (sign, word):  # one word between the at-mark and the first dot, spelt out or not
+            plain = valid & ~has("space", "bracket") & (column > mark[:, None])
+            rank = np.cumsum(plain, axis=1)
+            fits = (plain & (rank == 1) & has("alnum")).any(1) & (plain & (rank == 2) & has("dot", "dot_word")).any(1)
+            hosts.append(fits[row] & (pick(rank) > 2))
+        f["one_host"] = (pos > 0) & np.where(f["at_sign"], *hosts)
+        blank = _BIT["space"] | _BIT["ends"]
+        before = np.where(first > 0, self.kind[first - 1], blank)
+        after = np.where(last + 1 < self.n, self.kind[np.minimum(last + 1, self.n - 1)], blank)
+        f["digit_neighbour"] = (before & _BIT["tied_left"] > 0) | (after & _BIT["tied_right"] > 0)
+        f["letter_neighbour"] = (before | after) & _BIT["letter"] > 0
+        f["outer_space"] = (before & _BIT["space"] > 0) & (after & _BIT["ends"] > 0)
+        near = np.zeros(len(start), np.int64)
+        for k in range(1, CONTEXT + 1):
+            near |= np.where(start >= k, self.kind[np.maximum(start - k, 0)], 0)
+        for k in KINDS:
+            f["near_" + k] = near[row] & _BIT["near_" + k] > 0
+        return first, last + 1, np.stack([f[k] for k in NAMES], axis=1).astype(float)
 
 
 class Field:
@@ -191,40 +278,45 @@ class Field:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def decode(self, tokens: list[str], first: int = 0, stop: int | None = None) -> list[tuple[int, int, str]]:
-        """The best segmentation of tokens[first:stop]: (first token, end, type); the tokens around are context."""
-        spans = _candidates(tokens[first:stop])
-        if not spans:
+    def decode(self, tokens: Tokens) -> list[tuple[int, int, str]]:
+        """The best segmentation: (first token, end, type)."""
+        found = []
+        starts = tokens.starts()
+        for at in range(0, len(starts), SCORED):
+            first, end, f = tokens.candidates(starts[at : at + SCORED])
+            scores = f @ self.weights.T
+            kind = scores.argmax(1)
+            top = scores[np.arange(len(kind)), kind]
+            good = np.flatnonzero(top > 0)  # a segment that scores nothing improves no segmentation
+            found.append((first[good], end[good], top[good], kind[good]))
+        if not any(len(x[0]) for x in found):
             return []
-        parts = (spans[k : k + SCORED] for k in range(0, len(spans), SCORED))
-        scores = np.concatenate([np.array([features(tokens, first + i, first + j) for i, j in part]) @ self.weights.T for part in parts])
-        kind = scores.argmax(1)
-        top = scores[np.arange(len(spans)), kind]
-        ending: dict[int, list[int]] = {}
-        for c, (_, j) in enumerate(spans):
-            if top[c] > 0:
-                ending.setdefault(j, []).append(c)
-        n = len(tokens[first:stop])
-        best, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for c in ending.get(j, ()):
-                if best[spans[c][0]] + top[c] > best[j]:
-                    best[j], back[j] = best[spans[c][0]] + top[c], c
-        out, j = [], n
-        while j > 0:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i, end = spans[back[j]]
-                out.append((first + i, first + end, KINDS[kind[back[j]]]))
-                j = i
+        first, end, top, kind = (np.concatenate(x) for x in zip(*found))
+        # Dynamic program over the places where a candidate ends: the best sum up to each.
+        order = np.lexsort((first, end))
+        ends, best, back = [0], [0.0], [-1]
+        for c in order.tolist():
+            i, j = int(first[c]), int(end[c])
+            before = bisect.bisect_right(ends, i) - 1
+            value = best[before] + float(top[c])
+            if value > best[-1]:
+                if ends[-1] == j:
+                    best[-1], back[-1] = value, c
+                else:
+                    ends.append(j)
+                    best.append(value)
+                    back.append(c)
+        out, k = [], len(ends) - 1
+        while k > 0:
+            c = back[k]
+            out.append((int(first[c]), int(end[c]), KINDS[kind[c]]))
+            k = bisect.bisect_right(ends, int(first[c])) - 1
         return out[::-1]
 
 
-def _gradient(weights: np.ndarray, tokens: list[str], spans: list[tuple[int, int]], f: np.ndarray, gold: set) -> np.ndarray:
-    """Gradient of the log likelihood of the gold segments by forward and backward sums over segments."""
-    n, scores = len(tokens), np.clip(f @ weights.T, -30, 30)
+def _gradient(weights: np.ndarray, n: int, spans: list[tuple[int, int]], f: np.ndarray, gold: set) -> np.ndarray:
+    """Gradient of the log likelihood of the gold segments of n tokens by forward and backward sums over segments."""
+    scores = np.clip(f @ weights.T, -30, 30)
     each = np.logaddexp.reduce(scores, axis=1)
     by_end: dict[int, list[int]] = {}
     by_start: dict[int, list[int]] = {}
@@ -255,7 +347,7 @@ def _spellings(rng: np.random.Generator) -> tuple[str, str | None]:
         some = lambda: pick("", f" {word()}", f" {word()} {word()}", f", {word()}")
         return f"{word()}{some()}{pick('', ',', '.')}{pick(' ', chr(10))}{pick('at', 'at', 'At')}{some()}{pick('.', '.', '.', '!', '?')}{pick(' ', ' ', chr(10))}{pick(word(), word()[:3], word()[:2]).capitalize()}{some()}", None
     if kind == "email":
-        name = word() + pick("", "." + word(), number(2))
+        name = word() + pick("", "." + word(), number(2), "".join(pick(".", ".", "-", "_") + word() for _ in range(r(1, 4))))
         host, tail = word(), pick("com", "org", "net", "de")
         return name + pick(f" at {host} dot {tail}", f" (at) {host} (dot) {tail}", f"(at){host}.{tail}", f" [at] {host} [dot] {tail}", f" @ {host}.{tail}", f" @ {host} . {tail}", f" at {host}.{tail}"), kind
     if kind == "ip":
@@ -282,15 +374,12 @@ def trained(examples: int = 500, epochs: int = 8, seed: int = 3) -> Field:
             left.append(sorted(_WORDS[kind])[int(rng.integers(0, len(_WORDS[kind])))])
         head = " ".join(left) + " "
         text = head + body + (". " if rng.random() < 0.2 else " ") + " ".join(right)
-        tokens, starts, at = _TOKEN.findall(text), {}, 0
-        for k, t in enumerate(tokens):
-            starts[at] = k
-            at += len(t)
-        starts[at] = len(tokens)
-        gold = {(starts[len(head)], starts[len(head) + len(body)], kind)} if kind else set()
-        spans = _candidates(tokens)
-        if spans:
-            data.append((tokens, spans, np.array([features(tokens, i, j) for i, j in spans]), gold))
+        tokens = Tokens([_TOKEN.findall(text)])
+        place = lambda x: int(np.searchsorted(tokens.end[APART:], x, "right")) + APART
+        gold = {(place(len(head)), place(len(head) + len(body)), kind)} if kind else set()
+        first, end, f = tokens.candidates(tokens.starts())
+        if len(first):
+            data.append((tokens.n, list(zip(first.tolist(), end.tolist())), f, gold))
     weights, seen = np.zeros((len(KINDS), FEATURES)), np.full((len(KINDS), FEATURES), 1e-2)
     weights[:, 0] = -3
     for _ in range(epochs):
@@ -301,23 +390,83 @@ def trained(examples: int = 500, epochs: int = 8, seed: int = 3) -> Field:
     return Field(weights)
 
 
+def _left(text: str, low: int, at: int) -> tuple[int, list[str]]:
+    """(start, tokens) of text before at: as many tokens as a candidate and its context can reach, or all from low."""
+    width = 128
+    while True:
+        start = max(low, at - width)
+        words = _TOKEN.findall(text, start, at)
+        if start == low:
+            return start, words
+        if len(words) > APART:  # the first may be cut
+            words = words[-APART:]
+            return at - sum(map(len, words)), words
+        width *= 2
+
+
+def _right(text: str, at: int, high: int) -> tuple[int, list[str]]:
+    """(end, tokens) of text from at on, likewise."""
+    width = 128
+    while True:
+        stop = min(high, at + width)
+        words = _TOKEN.findall(text, at, stop)
+        if stop == high:
+            return stop, words
+        if len(words) > APART:
+            words = words[:APART]
+            return at + sum(map(len, words)), words
+        width *= 2
+
+
+def stretches(text: str, low: int, high: int) -> list[tuple[int, list[str]]]:
+    """(start, tokens) of the parts of text[low:high] in which all candidates and their contexts lie."""
+    near: list[list[int]] = []
+    for seed in _SEED.finditer(text, low, high):
+        if near and seed.start() - near[-1][1] <= APART:  # so few characters are no more tokens
+            near[-1][1] = seed.end()
+        else:
+            near.append([seed.start(), seed.end()])
+    out: list[tuple[int, list[str]]] = []
+    end = low - 1  # of the last stretch
+    for a, b in near:
+        start, before = _left(text, low, a)
+        stop, after = _right(text, b, high)
+        if out and start <= end:
+            out[-1][1].extend(_TOKEN.findall(text, end, stop))
+        else:
+            out.append((start, [*before, *_TOKEN.findall(text, a, b), *after]))
+        end = max(end, stop)
+    return out
+
+
+def find_all(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans and the spans that the field adds, for each text."""
+    out: list[tuple[list[Span], list[Span]]] = []
+    parts, where = [], []
+    for k, text in enumerate(texts):
+        base = base_spans(text) if isinstance(text, str) else []
+        out.append((base, []))
+        for a, b in gaps(text, base) if isinstance(text, str) else ():
+            for start, words in stretches(text, a, b):
+                parts.append(words)
+                where.append((k, start, a, b))
+    if not parts:
+        return out
+    tokens = Tokens(parts)
+    for i, j, kind in field.decode(tokens):
+        r = bisect.bisect_right(tokens.first, i) - 1
+        k, start, a, b = where[r]
+        text, shift = texts[k], start - int(tokens.end[tokens.first[r] - 1])
+        i, j = int(tokens.end[i - 1]) + shift, int(tokens.end[j - 1]) + shift
+        # whole tokens only: a base span's edge may cut one
+        if (i > a or a == 0 or not text[a - 1].isalnum()) and (j < b or b == len(text) or not text[b].isalnum()):
+            out[k][1].append((i, j, kind))
+    return out
+
+
 def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans and the spans that the field adds."""
-    if not isinstance(text, str):
-        return [], []
-    base = base_spans(text)
-    added: list[Span] = []
-    for a, b in gaps(text, base):
-        if not _SEED.search(text, a, b):
-            continue
-        tokens = _TOKEN.findall(text[a:b])
-        found = [s for first, stop in islands(tokens) for s in field.decode(tokens, first, stop)]
-        if not found:
-            continue
-        at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]) + a
-        # whole tokens only: a base span's edge may cut one
-        added += [(int(at[i]), int(at[j]), k) for i, j, k in found if (i or a == 0 or not text[a - 1].isalnum()) and (j < len(tokens) or b == len(text) or not text[b].isalnum())]
-    return base, added
+    return find_all([text], field)[0]
 
 
 def _joined(spans: list[Span]) -> str:
@@ -342,10 +491,10 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                base, added = all_spans(text, field)
+            for doc_id, (base, added) in zip(b["doc_id"], find_all(b["text"].tolist(), field)):
                 n = [sum(s[2] == k for s in base) for k in KINDS]
-                rows.append((doc_id, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added)))
+                every = [sum(s[2] == k for s in base + added) for k in KINDS]
+                rows.append((doc_id, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added), *every))
             if rows:
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
                 out["doc_id"] = out["doc_id"].astype("Int64")
@@ -360,10 +509,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     counted = "n_chars" in docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = []
-            for t in b.column("text").to_pylist():
-                base, added = all_spans(t, field)
+            old = b.column("text").to_pylist()
+            for t, (base, added) in zip(old, find_all(old, field)):
                 texts.append(redact(t, base + added) if base or added else t)
             new = {"text": pa.array(texts, b.schema.field("text").type)}
             if counted:
