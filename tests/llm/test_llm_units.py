@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,24 +44,56 @@ def test_resynchronisation(chunk, overlap):
         assert count_by_chunks(p, x, chunk, overlap) == p.count(x)
 
 
-def _check_plan(histogram, rounds):
-    plan = packing.plan(histogram, 2048, rounds)
+def _check_plan(histogram):
+    plan, how = packing.plan(histogram, 2048)
     covered = collections.Counter()
     for config, times in plan:
         assert times > 0 and sum(k * n for k, n in config.items()) <= 2048
         for k, n in config.items():
             covered[k] += n * times
     assert covered == collections.Counter(histogram)
-    return sum(t for _, t in plan)
+    return sum(t for _, t in plan), how["by_program"] / max(1, how["tokens"])
 
 
-def test_packing_plans():
+def _histogram(lengths):
+    return collections.Counter(np.clip(np.asarray(lengths).astype(int), 1, 2048).tolist())
+
+
+@pytest.mark.parametrize("lengths", ["documents", "lognormal", "uniform", "normal"])
+def test_the_program_packs(lengths):
     rng = np.random.default_rng(1)
-    h = collections.Counter(np.minimum(2048, rng.lognormal(6, 0.9, 3000).astype(int) + 1).tolist())
-    used = _check_plan(h, 20)
-    assert used <= 1.01 * sum(k * n for k, n in h.items()) / 2048 + 1
-    assert _check_plan({2048: 3}, 5) == 3 and _check_plan({1025: 4}, 5) == 4 and _check_plan({1024: 5}, 5) == 3
-    assert packing.plan({}, 2048) == []
+    if lengths == "documents":
+        texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+        sizes = np.array([len(x) // 4 + 1 for x in word_encoder(WORDS).ids_bytes([t or "" for t in texts])])
+        h = _histogram(np.concatenate([np.full((sizes // 2048).sum(), 2048), sizes[sizes % 2048 > 0] % 2048]))
+    else:
+        h = _histogram({"lognormal": rng.lognormal(6, 0.9, 3000), "uniform": rng.integers(500, 1101, 20_000), "normal": rng.normal(800, 150, 20_000)}[lengths])
+    used, share = _check_plan(h)
+    bound = sum(k * n for k, n in h.items()) / 2048
+    assert share >= 0.9
+    if lengths in ("documents", "lognormal"):
+        assert used <= 1.01 * np.ceil(bound)
+    else:  # such lengths leave space in any sequence; best fit alone needs more
+        k = np.array(sorted(h))
+        assert used < sum(n for _, n in packing.best_fit(k, np.array([h[x] for x in k.tolist()]), 2048))
+
+
+def test_packing_plans():
+    assert _check_plan({2048: 3})[0] == 3 and _check_plan({1025: 4})[0] == 4 and _check_plan({1024: 5})[0] == 3
+    assert _check_plan({1: 3, 2047: 5})[0] == 5 and _check_plan({5: 100_000})[0] <= 246
+    assert packing.plan({}, 2048)[0] == []
+
+
+def test_the_cover_is_within_its_gap():
+    rng = np.random.default_rng(3)
+    lengths = np.array([30, 41, 55, 70])
+    counts = rng.integers(50, 200, 4).astype(float)
+    configurations, times, bound = packing.fractional(lengths, counts, 100, 0.02)
+    assert (lengths @ configurations <= 100).all()
+    lacking = np.maximum(0, counts - configurations @ times)
+    assert times.sum() + (lacking / (100 // lengths)).sum() <= 1.021 * bound
+    # the bound holds for every packing: best fit needs no fewer sequences
+    assert bound <= sum(n for _, n in packing.best_fit(lengths, counts.astype(int), 100))
 
 
 def test_knapsack_is_optimal():
