@@ -44,6 +44,30 @@ def test_resynchronisation(chunk, overlap):
         assert count_by_chunks(p, x, chunk, overlap) == p.count(x)
 
 
+def test_stable_places_are_boundaries_whatever_stands_around():
+    p = piece_encoder(PIECES)
+    rng = random.Random(6)
+    for _ in range(200):
+        x = "".join(rng.choice("ab zqXj日本語é😀 \n1▁") for _ in range(rng.randint(2, 12)))
+        for at in range(1, len(x)):
+            if p.stable(x, at):
+                ends = set(p.boundaries(x).tolist())
+                assert at in ends and p.last_stable(x, at - 1, at + 1) == at
+
+
+@pytest.mark.parametrize("kind", ["han", "base64", "one letter", "rare places"])
+def test_unspaced_text_is_counted_in_linear_time(kind):
+    rng = random.Random(7)
+    p = piece_encoder(PIECES)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    x = {"han": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(10**6)), "base64": "".join(rng.choice(letters) for _ in range(10**6)), "one letter": "a" * 10**6, "rare places": ("a" * 16_380 + "é") * 61}[kind]
+    began = time.perf_counter()
+    want = p.count(x)
+    plain = time.perf_counter() - began
+    assert count_by_chunks(p, x) == want
+    assert time.perf_counter() - began - plain < 5 * plain + 2  # about once over; 2 s for a busy machine
+
+
 def _check_plan(histogram):
     plan, how = packing.plan(histogram, 2048)
     covered = collections.Counter()

@@ -1,11 +1,14 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is encoded in overlapping chunks.  Each chunk's tokens carry
-the character offsets where they end; two neighbours are spliced at the last
-boundary that both have inside their overlap and that is proven stable (a
-place no merge can cross, see tokenizing.PieceEncoder).  Where the overlap
-holds no such place, as in text without spaces, the overlap is widened until
-it does or the rest of the document is in one chunk.  So counts are exact.
+A huge document is encoded in overlapping chunks.  Two neighbours are spliced
+in their overlap at a place that is proven stable: no merge can cross it,
+whatever stands around it (see tokenizing.PieceEncoder).  The overlap is encoded
+with character offsets, which align the splice with a token's end and say how
+many of its tokens each neighbour keeps.  Where the overlap holds no such
+place, it is widened to twice its width; where the whole chunk holds none, as
+in a run of one letter, the chunk grows to twice its length.  Places are looked
+for in the text before anything is encoded, so a text is encoded about once
+and time grows with its length.  Counts are exact.
 
 Texts up to the chunk size are one chunk.  Null and empty texts have 0 bytes
 and 0 tokens.  Rows are independent, so ties, repeated rows and hot keys need
@@ -30,32 +33,24 @@ OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 def count_by_chunks(encoder: PieceEncoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of text, equal to encoder.count(text)."""
-    if len(text) <= chunk:
-        return encoder.count(text)
-    total, start, skip = 0, 0, -1  # tokens that end at `skip` or before are counted already; -1: a lone prefix mark ends at 0
-    left, stop = None, min(len(text), chunk)
-    left = encoder.boundaries(text[start:stop])
-    while True:
-        if stop == len(text):
-            return total + int(np.count_nonzero(left > skip))
-        width, spliced = overlap, False
-        while not spliced:
-            width = min(width, stop - start)
-            nxt = stop - width
-            if width == stop - start:  # the whole chunk is overlap: only a longer chunk can help
-                stop = min(len(text), stop + chunk)
-                left = encoder.boundaries(text[start:stop])
-                break
-            new_stop = min(len(text), nxt + chunk + width)
-            right = encoder.boundaries(text[nxt:new_stop])
-            both = np.intersect1d(left[left > nxt - start] + start, right + nxt)
-            for at in both[::-1].tolist():
-                if at < stop and encoder.stable(text, at) and at > start + skip:
-                    total += int(np.count_nonzero((left > skip) & (left <= at - start)))
-                    start, skip, stop, left = nxt, at - nxt, new_stop, right
-                    spliced = True
-                    break
-            width *= 4
+    total, start, spliced, skip = 0, 0, 0, 0  # skip: of the chunk's first tokens, those that its predecessor has counted
+    while start + chunk < len(text):
+        stop = start + chunk
+        at = encoder.last_stable(text, max(spliced, start + 1), stop)
+        while at < 0 and stop < len(text):  # no place in the whole chunk: only a longer one can help
+            searched, stop = stop, min(len(text), 2 * stop - start)
+            at = encoder.last_stable(text, searched - 1, stop)
+        if at < 0:
+            break
+        width = overlap
+        while stop - width >= at:
+            width *= 2
+        first = max(start + 1, stop - width)
+        ends = encoder.boundaries(text[first:stop])
+        kept = int(np.count_nonzero(ends <= at - first))
+        total += encoder.count(text[start:stop]) - skip - (len(ends) - kept)
+        start, spliced, skip = first, at, kept
+    return total + encoder.count(text[start:]) - skip
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -108,11 +108,13 @@ class WordEncoder:
 class PieceEncoder:
     """Tokens of a `sentencepiece` model with the places where they end.
 
-    The vocabulary is scanned once.  If no piece holds the space mark after
-    another character, and the model neither rewrites nor trims text, a merge
-    can never cross from a word into the space before the next one: every such
-    place is a token boundary of the text, whatever stands around it.  That is
-    the proof `stable` rests on.
+    The vocabulary is scanned once for the pairs of characters that stand side
+    by side in any piece.  The model merges neighbouring characters into pieces
+    and neither rewrites nor trims text, so no merge can cross a pair that no
+    piece holds: every such place is a token boundary, whatever stands around
+    it.  That is the proof `stable` rests on.  It covers the space after a word
+    (if no piece holds one there), most pairs of ideographs and many of
+    unspaced codes.
     """
 
     SPACE = "▁"
@@ -134,6 +136,8 @@ class PieceEncoder:
             and all(self.SPACE not in p.piece.lstrip(self.SPACE) for p in proto.pieces)
             and not any(p.type == p.USER_DEFINED for p in proto.pieces)
         )
+        #: Without byte pieces, neighbouring unknown characters become one token.
+        self.paired = {p.piece[i : i + 2].replace(self.SPACE, " ") for p in proto.pieces for i in range(len(p.piece) - 1)} if self.word_local and trainer.byte_fallback else None
         self.prefix = spec.add_dummy_prefix
         self.memo: dict[str, int] = {}
 
@@ -141,8 +145,18 @@ class PieceEncoder:
         return len(self.model.encode(text, num_threads=1))
 
     def stable(self, text: str, at: int) -> bool:
-        """Whether text[at] surely starts a token: a space after a non-space."""
-        return self.word_local and 0 < at < len(text) and text[at] in " ▁" and text[at - 1] not in " ▁"
+        """Whether a token surely ends before text[at], inside the text."""
+        return self.paired is not None and 0 < at < len(text) and text[at - 1 : at + 1].replace(self.SPACE, " ") not in self.paired
+
+    def last_stable(self, text: str, low: int, high: int) -> int:
+        """The last stable place after low and before high, or -1."""
+        if self.paired is None:
+            return -1
+        paired, part = self.paired, text[max(0, low) : high].replace(self.SPACE, " ")
+        for k in range(len(part) - 1, 0, -1):
+            if part[k - 1 : k + 1] not in paired:
+                return max(0, low) + k
+        return -1
 
     def _word_counts(self, texts: list[list[str]]) -> None:
         memo = self.memo
