@@ -466,21 +466,35 @@ def test_filter_recall_stays_as_tables_grow(n):
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y))]) >= 0.975
 
 
-def test_toxicity_learns_an_interaction():
+@pytest.mark.parametrize("label", ["and", "xor"])
+@pytest.mark.parametrize("words, vocabulary, n", [(12, 60, 1600), (40, 1000, 3000)])
+def test_toxicity_learns_an_interaction(label, words, vocabulary, n):
     rng = np.random.default_rng(0)
     docs, y = [], []
-    for i in range(800):
-        words = [f"w{rng.integers(0, 60)}" for _ in range(12)]
+    for i in range(n):
+        text = [f"w{rng.integers(0, vocabulary)}" for _ in range(words)]
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        words += ["insult"] * a + ["people"] * b
-        docs.append(toxicity.document_terms(" ".join(words)))
-        y.append(float(a and b))
-    y = np.array(y)
-    m = toxicity.fit(docs[:600], y[:600])
-    p = m.scores(docs[600:])
-    assert ((p >= 0.5) == y[600:]).mean() > 0.9
+        docs.append(toxicity.document_terms(" ".join(text + ["insult"] * a + ["people"] * b)))
+        y.append(float(a and b) if label == "and" else float(a != b))
+    y, cut = np.array(y), n * 3 // 4
+    m = toxicity.fit(docs[:cut], y[:cut])
+    assert ((m.scores(docs[cut:]) >= 0.5) == y[cut:]).mean() > 0.9
+
+
+def test_toxicity_scores_are_the_pairwise_sums():
+    rng = np.random.default_rng(1)
+    theta = rng.normal(0, 0.2, (toxicity.SPACE, toxicity.FACTORS + 1)).astype(np.float32)
+    m = toxicity.FactorizationMachine(-0.3, theta)
+    docs = [toxicity.document_terms(t) for t in ("You are ALL so very lovely today", "one", "", None, "word " * 30 + "other words here too")]
+    want = []
+    for d in docs:
+        x = 1 / np.sqrt(1 + len(d) / toxicity.TYPICAL)
+        z = -0.3 + sum(float(theta[i, 0]) * x for i in d)
+        z += sum(float(theta[i, 1:] @ theta[j, 1:]) * x * x for k, i in enumerate(d) for j in d[:k])
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(m.scores(docs), want, atol=1e-5)
     assert toxicity.fit([], np.zeros(0)).scores([np.zeros(0, np.int32)])[0] == 0.5
-    assert 0 < toxicity.fit(docs[:5], np.ones(5)).scores([docs[0]])[0] < 1
+    assert 0 < toxicity.fit(docs[:2], np.ones(2)).scores([docs[0]])[0] < 1
 
 
 def test_quality_network_calibrates():

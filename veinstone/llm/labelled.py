@@ -14,7 +14,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     The sample is the `most` ids of smallest hash, so it doesn't depend on
     partitioning.  A document labelled twice takes the larger label.  The id
     list has at most `most` rows of 16 bytes: that bound is what lets it be
-    broadcast.  Rows that repeat a sampled id all count.
+    broadcast.  Rows that repeat a sampled id all count, until the caller's limit
+    of `most` rows, taken in the order of the ids' hashes.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))

@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame(total[used], columns=columns).assign(bucket=used)[["bucket", *columns]]
 
-    parts = docs.select("text").mapInPandas(run, "bucket int, " + ", ".join(f"{c} double" for c in columns))
+    parts = map_frames(docs.select("text"), run, "bucket int, " + ", ".join(f"{c} double" for c in columns))
     rows = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # BUCKETS rows at most
     out = np.zeros((BUCKETS, DIM))
     for r in rows:
@@ -167,9 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = M
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [pool(shared.value, codes(t)).tobytes() for t in b["text"]]})
+            yield b.drop(columns="text").assign(x=[pool(shared.value, codes(t)).tobytes() for t in b["text"]])
 
-    rows = training_rows(docs, labels, "quality", most).mapInPandas(run, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).collect()
+    pooled = map_frames(training_rows(docs, labels, "quality", most).select("doc_id", "y", "text"), run, "doc_id long, y int, x binary")
+    rows = pooled.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, 2 * DIM + SHAPES + 1))
     return fit(x, np.array([r["y"] for r in rows], float))
 

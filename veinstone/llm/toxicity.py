@@ -2,10 +2,13 @@
 
 Terms are lower-cased words, their four- and five-letter beginnings and a mark
 for shouted words, hashed into a fixed space; a document is the set of its
-terms.  score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>): the second
-part learns interactions that additive weights miss.  It is fitted with numpy
-on the driver on at most MOST_ROWS labelled documents (of their terms, the
-MOST_TERMS that go with the label most), and its size is bounded by the hash space.
+terms, each of value x = 1 / sqrt(1 + terms / TYPICAL).  score = sigmoid(w0 +
+sum w_i x + sum over pairs <v_i, v_j> x^2): the second part learns interactions
+that additive weights miss.  It is fitted with numpy on the driver on at most
+MOST_ROWS labelled documents, with all their terms: none is dropped beforehand,
+as one that is neutral alone may decide in a pair.  In the first epochs weights
+and factors of terms that explain nothing shrink to zero; in the others, what
+is left is fitted without that pull.  The model's size is the hash space's.
 
 Null and empty texts have no term and get the score of the bias.  Every row is
 scored on its own; repeated rows get equal scores.  Without labels of both
@@ -18,7 +21,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ from veinstone.llm.labelled import training_rows
 SPACE = 1 << 18
 FACTORS = 4
 MOST_ROWS = 6000
-LEAST_DOCS = 3
-LEAST_CHI = 16.0
-MOST_TERMS = 1 << 14
+#: Terms of a document from which on their values shrink.
+TYPICAL = 100.0
+#: Steps a pass, passes over the documents, the first of these that select, and AdaGrad's rate and first sum of squares.
+BATCHES, EPOCHS, SELECTING, RATE, HOLD = 48, 16, 8, 0.15, 1.0
+#: Weight decay, the pull to zero while selecting (of a weight and of a term's factors together; chance sums of gradients grow
+#: with the root of the documents, and so does the pull), and the factors' first size.
+DECAY, PULL, START = 0.1, 0.08, 0.05
 MEMO = 300_000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W_]+")
@@ -63,75 +69,89 @@ def document_terms(text: str | None) -> np.ndarray:
 
 
 class FactorizationMachine:
-    def __init__(self, row_of: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
-        self.row_of, self.bias, self.w, self.v = row_of, bias, w, v  # row_of: -1 for unused terms
+    """bias, a weight and FACTORS factors for every term of the hash space."""
+
+    def __init__(self, bias: float, theta: np.ndarray):
+        self.bias, self.theta = bias, theta
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
-        out = np.empty(len(docs))
-        for i, d in enumerate(docs):
-            r = self.row_of[d]
-            r = r[r >= 0]
-            x = 1.0 / np.sqrt(max(1, len(r)))
-            v = self.v[r] * x
-            s = v.sum(0)
-            out[i] = self.bias + self.w[r].sum() + 0.5 * float((s * s).sum() - (v * v).sum())
+        out = np.full(len(docs), self.bias)
+        full = [i for i, d in enumerate(docs) if len(d)]
+        if full:
+            size = np.array([len(docs[i]) for i in full])
+            z = _sums(self.theta, np.concatenate([docs[i] for i in full]), np.cumsum(size) - size, _values(size))[0]
+            out[full] += z
         return 1.0 / (1.0 + np.exp(-np.clip(out, -40, 40)))
 
 
-def informative(docs: list[np.ndarray], y: np.ndarray, most: int = MOST_TERMS) -> np.ndarray:
-    """Terms in LEAST_DOCS documents at least whose presence goes with the label, by chi-square."""
-    n, positive = len(docs), float(y.sum())
-    df = np.bincount(np.concatenate(docs), minlength=SPACE).astype(float)
-    hits = np.bincount(np.concatenate([d for d, k in zip(docs, y) if k]), minlength=SPACE).astype(float)
-    expected = df * positive / n
-    chi = (hits - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9)
-    chi[(df < LEAST_DOCS) | (chi < LEAST_CHI)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 0])
+def _values(size: np.ndarray) -> np.ndarray:
+    """The value of each term of a document, in the linear and in the pair part alike: less in long documents."""
+    return (1.0 / np.sqrt(1.0 + size / TYPICAL)).astype(np.float32)
+
+
+def _sums(theta: np.ndarray, ids: np.ndarray, start: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents whose ids begin at `start`: score without bias, sums of factors, and the rows of theta, as valued."""
+    rows = theta[ids] * np.repeat(x, np.diff(np.append(start, len(ids))))[:, None]
+    total = np.add.reduceat(rows, start, axis=0)
+    squares = np.add.reduceat(np.einsum("ij,ij->i", rows[:, 1:], rows[:, 1:]), start)
+    s = total[:, 1:]
+    return total[:, 0] + 0.5 * (np.einsum("ij,ij->i", s, s) - squares), s, rows
+
 
+def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 7) -> FactorizationMachine:
+    """Logistic loss over all terms by AdaGrad in batches of BATCH documents.
 
-def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss by full-batch Adam with weight decay; the pair part sees length-normalised values."""
+    Penalties are of the whole sample's loss: a term's share of them at each step
+    is one over its batches, so terms of few documents are held back.
+    """
     n = len(docs)
-    row_of = np.full(SPACE, -1, np.int32)
     share = (float(y.sum()) + 1) / (n + 2)
     bias = float(np.log(share / (1 - share)))
-    used = informative(docs, y) if n and y.min() != y.max() else np.zeros(0, np.int64)
-    size = len(used)
-    row_of[used] = np.arange(size)
-    if not size:
-        return FactorizationMachine(row_of, bias, np.zeros(0), np.zeros((0, FACTORS)))
-    rows = [row_of[d][row_of[d] >= 0] for d in docs]
-    length = np.array([len(r) for r in rows])
-    ids, doc = np.concatenate(rows), np.repeat(np.arange(n), length)
-    x = (1.0 / np.sqrt(np.maximum(1, length)))[doc]
-    theta = np.zeros((size, FACTORS + 1))
-    theta[:, 1:] = np.random.default_rng(seed).normal(0, 0.05, (size, FACTORS))
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    b1 = b2 = 0.0
-    for step in range(1, steps + 1):
-        w, v = theta[:, 0], theta[:, 1:]
-        grad = np.empty_like(theta)
-        s = np.empty((n, FACTORS))
-        z = bias + np.bincount(doc, w[ids], n)
-        for f in range(FACTORS):
-            vx = v[ids, f] * x
-            s[:, f] = np.bincount(doc, vx, n)
-            z += 0.5 * (s[:, f] ** 2 - np.bincount(doc, vx * vx, n))
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad[:, 0] = np.bincount(ids, g[doc], size)
-        gx = g[doc] * x
-        for f in range(FACTORS):
-            grad[:, f + 1] = np.bincount(ids, gx * (s[doc, f] - v[ids, f] * x), size)
-        grad += decay / 10 * theta
-        m1 += 0.1 * (grad - m1)
-        m2 += 0.01 * (grad * grad - m2)
-        b1 += 0.1 * (g.sum() - b1)
-        b2 += 0.01 * (g.sum() ** 2 - b2)
-        c1, c2 = 1 - 0.9**step, 1 - 0.99**step
-        theta -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
-        bias -= rate * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8)
-    return FactorizationMachine(row_of, float(bias), theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
+    theta = np.zeros((SPACE, FACTORS + 1), np.float32)
+    if not n or y.min() == y.max():
+        return FactorizationMachine(bias, theta)
+    rng = np.random.default_rng(seed)
+    used = np.unique(np.concatenate(docs))
+    theta[used, 1:] = rng.normal(0, START, (len(used), FACTORS))
+    batches = []
+    width = max(8, -(-n // BATCHES))
+    order = rng.permutation([i for i in range(n) if len(docs[i])])
+    for at in range(0, len(order), width):
+        part = order[at : at + width]
+        size = np.array([len(docs[i]) for i in part])
+        ids, local = np.unique(np.concatenate([docs[i] for i in part]), return_inverse=True)
+        batches.append((ids, local, size, np.cumsum(size) - size, _values(size), y[part]))
+    touched = np.bincount(np.concatenate([b[0] for b in batches]), minlength=SPACE).astype(np.float32)  # batches of each term
+    pull = PULL * np.sqrt(n)
+    squares, bias_squares = np.full(theta.shape, HOLD, np.float32), HOLD
+    for epoch in range(epochs):
+        selecting = epoch < SELECTING
+        live = theta != 0
+        for k in rng.permutation(len(batches)):
+            ids, local, size, start, x, target = batches[k]
+            mine = theta[ids]
+            z, s, rows = _sums(mine, local, start, x)
+            g = (1 / (1 + np.exp(-np.clip(z + bias, -40, 40))) - target).astype(np.float32)
+            each = np.repeat(g * x, size)
+            grad = np.empty_like(mine)
+            grad[:, 0] = np.bincount(local, each, len(ids))
+            for f in range(FACTORS):
+                grad[:, f + 1] = np.bincount(local, each * (np.repeat(s[:, f], size) - rows[:, f + 1]), len(ids))
+            grad += (decay / touched[ids])[:, None] * mine
+            squares[ids] += grad * grad
+            pace = rate / np.sqrt(squares[ids])
+            mine -= pace * grad
+            if selecting:
+                less = (pull / touched[ids]).astype(np.float32)
+                mine[:, 0] = np.sign(mine[:, 0]) * np.maximum(0, np.abs(mine[:, 0]) - pace[:, 0] * less)
+                length = np.sqrt(np.einsum("ij,ij->i", mine[:, 1:], mine[:, 1:]))
+                mine[:, 1:] *= np.maximum(0, 1 - pace[:, 1:].mean(1) * less / np.maximum(length, 1e-9))[:, None]
+            else:
+                mine *= live[ids]
+            theta[ids] = mine
+            bias_squares += float(g.sum()) ** 2
+            bias -= rate * float(g.sum()) / np.sqrt(bias_squares)
+    return FactorizationMachine(bias, theta)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> FactorizationMachine:
@@ -139,9 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Factoriz
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "terms": [document_terms(t).tobytes() for t in b["text"]]})
+            yield b.drop(columns="text").assign(terms=[document_terms(t).tobytes() for t in b["text"]])
 
-    rows = training_rows(docs, labels, "toxic", most).mapInPandas(run, "doc_id long, y int, terms binary").orderBy("doc_id", "y", "terms").limit(most).collect()
+    terms = map_frames(training_rows(docs, labels, "toxic", most).select("doc_id", "y", "text"), run, "doc_id long, y int, terms binary")
+    rows = terms.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "terms").limit(most).collect()
     return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["y"] for r in rows], float))
 
 
