@@ -182,3 +182,41 @@ def test_positions_behind_a_shuffle(engine, spark):
     got = rows(e, "SELECT a.id AS x, b.id AS y FROM (SELECT id FROM t ORDER BY id) a POSITIONAL JOIN (SELECT id FROM t ORDER BY id DESC LIMIT 4000) b")
     assert sorted(got, key=lambda r: r[0]) == [(i, 4999 - i if i < 4000 else None) for i in range(5000)]
     assert rows(e, "SELECT COUNT(DISTINCT r) AS n, MIN(r) AS a, MAX(r) AS b FROM (SELECT ROW_NUMBER() OVER () AS r FROM (SELECT DISTINCT h FROM t) d) q") == [(5000, 1, 5000)] or len({h for _, h in spark.table("shuffled").collect()}) < 5000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    return Engine(spark, {"t": spark.range(1000).selectExpr("id", "id % 7 as k", "cast(id as string) as s"), "u": spark.range(50).selectExpr("id * 3 as x")})
+
+
+@pytest.mark.parametrize("query", ["SELECT id, ROW_NUMBER() OVER (ORDER BY k, id) AS rn FROM t", "SELECT id, LAG(id) OVER (ORDER BY id) AS b, LEAD(id, 2, -1) OVER (ORDER BY k, id) AS c FROM t"])
+def test_windows_over_all_rows_are_not_one_task(numbers, query):
+    import re
+
+    plan = _plan(numbers.sql(query))
+    # only the counts per partition meet in one task
+    assert not re.search(r"Window \[(row_number|lag|lead)", plan)
+
+
+def test_not_in_is_an_anti_join(numbers):
+    plan = _plan(numbers.sql("SELECT id FROM t WHERE id NOT IN (SELECT x FROM u) AND k > 2"))
+    assert "LeftAnti" in plan and "NAAJ" not in plan.upper() and "isNullAwareAntiJoin" not in plan
+    assert numbers.sql("SELECT id FROM t WHERE id NOT IN (SELECT x FROM u) AND id < 10").count() == 6
+    assert numbers.sql("SELECT id FROM t WHERE id NOT IN (SELECT NULLIF(x, 3) FROM u)").count() == 0
+    assert numbers.sql("SELECT id FROM t WHERE NULLIF(id, 1) NOT IN (SELECT x FROM u WHERE x < 0)").count() == 1000
+    assert numbers.sql("SELECT a.id FROM t a WHERE a.id NOT IN (SELECT x FROM u WHERE x = a.id)").count() == 950
+
+
+def test_like_without_inner_marks_needs_no_regular_expression(numbers):
+    assert "RLIKE" not in _plan(numbers.sql("SELECT id FROM t WHERE s LIKE '%9%'")).upper()
+    for pattern, n in (("%99%", 19), ("99%", 11), ("%99", 10), ("99", 1), ("%", 1000), ("9_", 10)):
+        assert numbers.sql(f"SELECT id FROM t WHERE s LIKE '{pattern}'").count() == n
+
+
+def test_large_numbers_keep_their_value(numbers):
+    got = numbers.sql("SELECT FLOOR(1e20) AS a, ROUND(1e20) AS b, ROUND(12345678901234.5, 6) AS c, CEIL(-1e300) AS d, ROUND(2.5) AS e, ROUND(-2.5) AS f").collect()[0]
+    assert tuple(got) == (1e20, 1e20, 12345678901234.5, -1e300, 3.0, -2.0)

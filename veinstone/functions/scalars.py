@@ -145,7 +145,9 @@ def _from(s: Column, a, k: int, name: str) -> Column:
 @scalar("REGEXP_SUBSTR", "REGEXP_EXTRACT", low=2, high=4, text="string, pattern[, position[, occurrence]]")
 def regexp_substr(a):
     s = _from(_text(a[0]), a, 2, "REGEXP_SUBSTR")
-    nth = _checked(a[3], 1, "REGEXP_SUBSTR", "occurrence") if len(a) > 3 else F.lit(1)
+    if len(a) < 4:
+        return F.regexp_substr(s, _text(a[1]))
+    nth = _checked(a[3], 1, "REGEXP_SUBSTR", "occurrence")
     return F.get(F.regexp_extract_all(s, _text(a[1]), F.lit(0)), nth - 1)
 
 
@@ -182,10 +184,15 @@ def _unary(name: str, f: Callable, text: str = "number"):
     scalar(name, text=text)(lambda a: f(as_double(a[0])))
 
 
+def _whole(x: Column, f: Callable) -> Column:
+    """f(x) as a double; from 2**52 on, where doubles have no fractions, and for NaN and infinities x itself."""
+    return F.when(F.abs(x) < 2.0**52, f(x).cast("double")).otherwise(x)
+
+
 for _name, _f in {
-    "FLOOR": lambda x: F.floor(x).cast("double"),
-    "CEIL": lambda x: F.ceil(x).cast("double"),
-    "CEILING": lambda x: F.ceil(x).cast("double"),
+    "FLOOR": lambda x: _whole(x, F.floor),
+    "CEIL": lambda x: _whole(x, F.ceil),
+    "CEILING": lambda x: _whole(x, F.ceil),
     "SIGN": F.signum,
     "EXP": F.exp,
     "SQRT": F.sqrt,
@@ -213,9 +220,9 @@ def rounded(a):
     """Half rounds towards positive infinity."""
     x = as_double(a[0])
     if len(a) == 1:
-        return F.floor(x + 0.5).cast("double")
+        return _whole(x, lambda v: F.floor(v + 0.5))
     scale = F.lit(10.0 ** int(a[1].literal[0])) if a[1].literal and a[1].literal[0] is not None else F.pow(F.lit(10.0), as_double(a[1]))
-    return F.floor(x * scale + 0.5).cast("double") / scale
+    return F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale + 0.5).cast("double") / scale).otherwise(x)
 
 
 @scalar("MOD", low=2, text="dividend, divisor")

@@ -142,7 +142,27 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "st_intersects": ("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE ST_INTERSECTS(ST_MAKEENVELOPE(a.n_nationkey, 0, a.n_nationkey + 2, 1), ST_MAKEENVELOPE(b.n_nationkey, 1, b.n_nationkey + 2, 2))", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE abs(a.n_nationkey - b.n_nationkey) <= 2"),
     "st_astext": ("SELECT r_regionkey, ST_ASTEXT(ST_GEOMFROMTEXT(CONCAT('POINT(', r_regionkey, ' 1.5)'))) AS w FROM region", "SELECT r_regionkey, 'POINT (' || r_regionkey || ' 1.5)' AS w FROM region"),
     "st_relations": ("SELECT ST_TOUCHES(ST_MAKEENVELOPE(0,0,1,1), ST_MAKEENVELOPE(1,0,2,1)) AS t, ST_OVERLAPS(ST_MAKEENVELOPE(0,0,2,2), ST_MAKEENVELOPE(1,1,3,3)) AS o, ST_CROSSES(ST_GEOMFROMTEXT('LINESTRING(0 0, 2 2)'), ST_GEOMFROMTEXT('LINESTRING(0 2, 2 0)')) AS c, ST_EQUALS(ST_MAKEENVELOPE(0,0,1,1), ST_GEOMFROMTEXT('POLYGON((1 1, 0 1, 0 0, 1 0, 1 1))')) AS e, ST_WITHIN(ST_GEOMFROMTEXT('POINT(1 1)'), ST_MAKEENVELOPE(0,0,1,1)) AS w, ST_CONTAINSPROPERLY(ST_MAKEENVELOPE(0,0,1,1), ST_GEOMFROMTEXT('POINT(1 1)')) AS p, ST_COVERS(ST_MAKEENVELOPE(0,0,1,1), ST_GEOMFROMTEXT('POINT(1 1)')) AS v, ST_COVEREDBY(ST_GEOMFROMTEXT('POINT(3 1)'), ST_MAKEENVELOPE(0,0,1,1)) AS b", "SELECT TRUE AS t, TRUE AS o, TRUE AS c, TRUE AS e, TRUE AS w, FALSE AS p, TRUE AS v, FALSE AS b"),
+    # more of the above
+    "round_large": ("SELECT c_custkey, ROUND(c_acctbal * 1e16) AS r, FLOOR(c_acctbal * 1e16) AS f, CEIL(c_acctbal * -1e16) AS c, ROUND(c_acctbal * 1e9, 8) AS d FROM customer WHERE c_acctbal > 1000", "SELECT c_custkey, c_acctbal * 1e16 AS r, c_acctbal * 1e16 AS f, c_acctbal * -1e16 AS c, c_acctbal * 1e9 AS d FROM customer WHERE c_acctbal > 1000"),
+    "first_row_many": ("SELECT o_custkey, o_orderkey, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY file_row_number) AS o_orderkey, first(o_orderstatus ORDER BY file_row_number) AS o_orderstatus, COUNT(*) AS n FROM (SELECT *, row_number() OVER () AS file_row_number FROM orders) GROUP BY o_custkey"),
+    "group_star": ("SELECT *, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "SELECT first(n_nationkey ORDER BY k) AS n_nationkey, first(n_name ORDER BY k) AS n_name, n_regionkey, COUNT(*) AS n FROM (SELECT *, row_number() OVER () AS k FROM nation) GROUP BY n_regionkey"),
+    "stable_ties": ("SELECT n_nationkey, ROW_NUMBER() OVER () AS rn FROM (SELECT n_nationkey FROM nation ORDER BY n_regionkey) t", "SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey, k) AS rn FROM (SELECT *, row_number() OVER () AS k FROM nation)"),
+    "json_object": ("SELECT r_regionkey, JSON_EXTRACT_STRING(JSON_OBJECT('name', r_name, 'key', r_regionkey), 'name') AS s, JSON_TYPE(JSON_OBJECT('k', r_regionkey)) AS t FROM region", "SELECT r_regionkey, json_object('name', r_name, 'key', r_regionkey)->>'name' AS s, 'object' AS t FROM region"),
+    "json_array_length": ("SELECT event_id, JSON_ARRAY_LENGTH('[1, 2, {}]') AS n, JSON_ARRAY_LENGTH(CONCAT('[', event_id, ',', user_id, ']')) AS m FROM events", "SELECT event_id, 3 AS n, 2 AS m FROM events"),
+    "array_append_concat": ("SELECT n_nationkey, ARRAY_APPEND([1, 2], n_nationkey) AS a, ARRAY_CONCAT(STRING_SPLIT(n_name, '_'), ['x', 'y']) AS c FROM nation", "SELECT n_nationkey, list_append([1, 2], n_nationkey)::BIGINT[] AS a, list_concat(string_split(n_name, '_'), ['x', 'y']) AS c FROM nation"),
+    "struct_dot": ("SELECT t.o.k AS k, t.o.name AS name FROM (SELECT JSON_OBJECT('k', n_nationkey, 'name', n_name) AS o FROM nation) t", "SELECT n_nationkey AS k, n_name AS name FROM nation"),
+    "unnest_view_outer": ("SELECT n_nationkey, x FROM nation LATERAL VIEW OUTER EXPLODE(STRING_SPLIT(NULLIF(n_name, 'NATION_3'), '_')) t AS x", "SELECT n_nationkey, unnest(CASE WHEN n_name = 'NATION_3' THEN [NULL] ELSE string_split(n_name, '_') END) AS x FROM nation"),
+    "join_theta_left": ("SELECT s.s_suppkey, n.n_nationkey FROM supplier s LEFT JOIN nation n ON s.s_nationkey > n.n_nationkey + 18", None),
+    "join_theta_right": ("SELECT s.s_suppkey, n.n_nationkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey > n.n_nationkey + 18", None),
+    "join_theta_full": ("SELECT r.r_regionkey, n.n_nationkey FROM region r FULL JOIN nation n ON r.r_regionkey > n.n_nationkey + 1", None),
+    "agg_distinct": ("SELECT n_regionkey, SUM(DISTINCT n_regionkey) AS s, AVG(DISTINCT n_nationkey % 3) AS a, COUNT(DISTINCT n_name) AS c FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, SUM(DISTINCT n_regionkey)::BIGINT AS s, AVG(DISTINCT n_nationkey % 3) AS a, COUNT(DISTINCT n_name) AS c FROM nation GROUP BY n_regionkey"),
+    "lag_varying": ("SELECT n_nationkey, LAG(n_name, n_nationkey % 3) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lag(n_name, 1) OVER w ELSE lag(n_name, 2) OVER w END AS b FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)"),
+    "window_no_partition": ("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn, LAG(o_orderkey) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS before, LEAD(o_orderkey, 2, -1) OVER (ORDER BY o_orderkey) AS later FROM orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn, lag(o_orderkey) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS before, lead(o_orderkey, 2, -1) OVER (ORDER BY o_orderkey) AS later FROM orders"),
+    "not_in_nulls": ("SELECT n_nationkey FROM nation WHERE NULLIF(n_regionkey, 2) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 3) AND n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 0) FROM region WHERE r_regionkey > 0)", None),
+    "median_all": ("SELECT MEDIAN(l_extendedprice) AS m, PERCENTILE_CONT(0.9, l_quantity) AS q, COUNT(*) AS n FROM lineitem", "SELECT median(l_extendedprice) AS m, quantile_cont(l_quantity, 0.9) AS q, COUNT(*) AS n FROM lineitem"),
+    "st_multi": ("SELECT s_suppkey FROM supplier WHERE ST_INTERSECTS(ST_GEOMFROMTEXT('MULTIPOINT((1 1), (5 2), (30 3))'), ST_MAKEENVELOPE(s_nationkey - 1, 0, s_nationkey + 1, 4))", "SELECT s_suppkey FROM supplier WHERE 1 BETWEEN s_nationkey - 1 AND s_nationkey + 1 OR 5 BETWEEN s_nationkey - 1 AND s_nationkey + 1 OR 30 BETWEEN s_nationkey - 1 AND s_nationkey + 1"),
     # user functions
+    "udf_no_argument": ("SELECT n_nationkey, HELLO() AS h, WAITED() AS w FROM nation", "SELECT n_nationkey, 'hello' AS h, 'waited' AS w FROM nation"),
     "udf_scalar": ("SELECT c_custkey, SHOUT(c_name) AS s FROM customer", "SELECT c_custkey, upper(c_name) || '!' AS s FROM customer"),
     "udf_async": ("SELECT n_nationkey, LATER(n_name) AS s FROM nation", "SELECT n_nationkey, reverse(n_name) AS s FROM nation"),
 }
@@ -152,7 +172,11 @@ async def _later(text):
     return None if text is None else text[::-1]
 
 
-FUNCTIONS = {"SHOUT": {"apply": lambda s: None if s is None else s.upper() + "!", "arguments": {"min": 1, "max": 1}}, "LATER": {"apply": _later, "arguments": {"min": 1, "max": 1}}}
+async def _waited():
+    return "waited"
+
+
+FUNCTIONS = {"HELLO": {"apply": lambda: "hello", "arguments": {"min": 0, "max": 0}}, "WAITED": {"apply": _waited, "arguments": {"min": 0, "max": 0}}, "SHOUT": {"apply": lambda s: None if s is None else s.upper() + "!", "arguments": {"min": 1, "max": 1}}, "LATER": {"apply": _later, "arguments": {"min": 1, "max": 1}}}
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:

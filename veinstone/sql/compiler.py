@@ -11,6 +11,7 @@ import difflib
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ class Lowering:
     types: dict = field(default_factory=dict)
     ordinal: str | None = None
     probing: bool = False
+    #: Of windows without PARTITION BY: the value, and whether there is a row to take it from.
+    moved: dict = field(default_factory=dict)
 
     # -- names --
 
@@ -194,6 +197,11 @@ class Lowering:
     def like(self, a: Val, b: Val) -> Column:
         """Ignores case, crosses line breaks and knows no escape character."""
         if b.literal and isinstance(b.literal[0], str):
+            words = b.literal[0].strip("%")
+            if words and words.isascii() and not set(words) & set("%_"):  # marks at the ends only: no regular expression
+                low, part = F.lower(as_text(a)), words.lower()
+                head, tail = b.literal[0].startswith("%"), b.literal[0].endswith("%")
+                return low.contains(part) if head and tail else low.endswith(part) if head else low.startswith(part) if tail else low == part
             special = set("\\.^$|?*+()[]{}")
             pattern = "".join(".*" if c == "%" else "." if c == "_" else "\\" + c if c in special else c for c in b.literal[0])
             return F.rlike(as_text(a), F.lit(f"(?isu)\\A{pattern}\\z"))
@@ -336,12 +344,16 @@ class Lowering:
             return Val(ordinal + 1, T.LongType())
         w = W.partitionBy(*[self.column(p) for p in e.partition]).orderBy(*self.sort_keys(e.order), ordinal)
         if e.name == "ROW_NUMBER":
-            return Val(F.row_number().over(w).cast("long"), T.LongType())
+            return Val(self.moved[e][0] if e in self.moved else F.row_number().over(w).cast("long"), T.LongType())
         v = self.val(e.args[0])
         step = self.val(e.args[1]) if len(e.args) > 1 else literal(1)
         default = self.val(e.args[2]) if len(e.args) > 2 else None
         sign = -1 if e.name == "LAG" else 1
-        if step.literal and isinstance(step.literal[0], int):
+        if e in self.moved:
+            moved, here = self.moved[e]
+            if default is None:
+                return Val(moved, v.type)
+        elif step.literal and isinstance(step.literal[0], int):
             k = sign * step.literal[0]
             moved = F.lead(v.col, k).over(w) if k >= 0 else F.lag(v.col, -k).over(w)
             if default is None:
@@ -356,7 +368,8 @@ class Lowering:
                 return Val(moved, v.type)
         a, b = common([v, default])
         moved = moved.cast("double") if v.is_number and self._float(a, e, v, default) else moved if v.is_text or not default.is_text else as_text(Val(moved, v.type))
-        return self.typed(e, F.when(here.isNotNull(), moved).otherwise(b))
+        out = F.when(here.isNotNull(), moved).otherwise(b)
+        return Val(out, replace(self, moved={}).v_window(e).type) if e in self.moved else self.typed(e, out)
 
     @staticmethod
     def _float(a, e, v: Val, d: Val) -> bool:
@@ -408,9 +421,7 @@ class Compiler:
         def listed(v: Val) -> Column:
             if f.name == "JSON_EACH":
                 return self.json_pairs(v)
-            if v.is_array:
-                return F.transform(v.col, lambda x: F.struct(x.alias("a")))
-            return F.array().cast("array<struct<a:string>>")
+            return v.col if v.is_array else F.array().cast("array<string>")
 
         # The argument is a column of its own first: it may be a subquery, which lambdas can't hold.
         given = self.fresh()
@@ -420,13 +431,15 @@ class Compiler:
         made = left.df.withColumn(given, v.col).withColumn(temp, rows)
         probe = replace(low, probing=True, types=dict(low.types))
         element = left.typing(self.spark).select(listed(probe.val(low.resolve(f.args[0]))).alias(temp)).schema[temp].dataType.elementType
-        fields = element.fieldNames()
-        new = [Entry(f.alias, n, i, element[k].dataType) for n, i, k in zip(f.columns, ids, fields)]
+        pairs = f.name == "JSON_EACH"
+        fields = element.fieldNames() if pairs else [""]
+        of = lambda x, k: x.getField(k) if pairs else x
+        new = [Entry(f.alias, n, i, element[k].dataType if pairs else element) for n, i, k in zip(f.columns, ids, fields)]
         base = [F.col(e.id) for e in left.entries]
 
         def exploded(df: DataFrame, how) -> Scope:
             df = df.select(*base, how(temp).alias(temp))
-            df = df.select(*base, *[F.col(temp).getField(k).alias(i) for i, k in zip(ids, fields)])
+            df = df.select(*base, *[of(F.col(temp), k).alias(i) for i, k in zip(ids, fields)])
             return Scope(df, [*left.entries, *new])
 
         if join.on is None:
@@ -440,7 +453,7 @@ class Compiler:
 
         # ON belongs to the join: filter each row's array first, then keep rows whose array is empty.
         def passes(x: Column) -> Column:
-            known = {N.Name(i, LOCAL): Val(x.getField(k), element[k].dataType) for i, k in zip(ids, fields)}
+            known = {N.Name(i, LOCAL): Val(of(x, k), e.type) for i, k, e in zip(ids, fields, new)}
             return F.coalesce(as_bool(Lowering(self, replace(inner, outer=outer), ctes, known, test.types).val(on)), F.lit(False))
 
         return exploded(made.withColumn(temp, F.filter(F.col(temp), passes)), F.explode_outer)
@@ -553,8 +566,10 @@ class Compiler:
         scope = replace(self.source(node, ctes, outer), outer=outer)
         low = Lowering(self, scope, ctes)
         if node.where is not None:
-            scope = replace(scope, df=scope.df.where(as_bool(low.val(low.resolve(node.where)))))
-            low = Lowering(self, scope, ctes)
+            for part in conjuncts(low.resolve(node.where)):
+                df = self.not_in(low, part) if outer is None and isinstance(part, N.Unary) and part.op == "NOT" and isinstance(part.arg, N.InQuery) else None
+                scope = replace(scope, df=df if df is not None else scope.df.where(as_bool(low.val(part))))
+                low = replace(low, scope=scope)
 
         # An alias shadows a column in later items, GROUP BY and ORDER BY.
         aliases: dict[str, N.Node] = {}
@@ -589,6 +604,7 @@ class Compiler:
             plain = any(w.name == "ROW_NUMBER" and not w.partition and not w.order for w in windows)
             df = with_ordinal(low.scope.df, name) if plain else low.scope.df.withColumn(name, F.monotonically_increasing_id())
             low = replace(low, scope=replace(low.scope, df=df), ordinal=name)
+            low, df = self.over_all_rows(low, windows)
             # Windows come before the sort, or their own sorting would undo it.
             values = {w: low.val(w) for w in dict.fromkeys(windows)}
             ids = {w: self.fresh() for w in values}
@@ -599,12 +615,61 @@ class Compiler:
             low.stars = stars
         return self.projected(low, node, items, order)
 
+    def over_all_rows(self, low: Lowering, windows: list) -> tuple[Lowering, DataFrame]:
+        """Windows that order all rows without PARTITION BY: by positions, not by a window in one task.
+
+        Rows are sorted by ranges and numbered by counts per range; LAG and LEAD
+        by a fixed number of rows join each position with the one they look at.
+        """
+        df, places, moved = low.scope.df, {}, {}
+        for w in dict.fromkeys(windows):
+            step = w.args[1] if len(w.args) > 1 else N.Literal(1)
+            step = step.value if isinstance(step, N.Literal) and isinstance(step.value, int) else None
+            if w.partition or not w.order or w.name != "ROW_NUMBER" and step is None:
+                continue
+            if w.order not in places:
+                places[w.order] = self.fresh()
+                df = with_ordinal(df.orderBy(*low.sort_keys(w.order), low.ordinal), places[w.order])
+            place = F.col(places[w.order])
+            if w.name == "ROW_NUMBER":
+                moved[w] = place + 1, None
+                continue
+            value, at = self.fresh(), self.fresh()
+            looked = df.select((place + (step if w.name == "LAG" else -step)).alias(at), low.column(w.args[0]).alias(value))
+            df = df.join(looked, place == F.col(at), "left")
+            moved[w] = F.col(value), F.col(at)
+        return replace(low, scope=replace(low.scope, df=df), moved=moved), df
+
+    def not_in(self, low: Lowering, e: N.Unary) -> DataFrame | None:
+        """The rows whose value the subquery doesn't hold, by an anti join that Spark may shuffle.
+
+        Spark's own NOT IN broadcasts the subquery, however large.  Its rule for
+        nulls needs two counts only: a null in the subquery leaves no row, and a
+        null value stays only where the subquery is empty.  None if the subquery
+        takes names from outside.
+        """
+        df, out = self.query(e.arg.query, low.ctes, replace(low.scope, df=low.scope.df))
+        if len(out) != 1:
+            raise PlanError("IN takes a subquery of one column", e.start, e.end)
+        try:
+            df.schema  # noqa: B018  fails on names from outside
+        except AnalysisException:
+            return None
+        a, b = low.val(e.arg.arg), Val(F.col(out[0].id), out[0].type)
+        key, other, flag = self.fresh(), self.fresh(), self.fresh()
+        if a.is_text == b.is_text and a.is_time == b.is_time:
+            left, right = a.col, b.col
+        else:
+            left, right = (f(v) for f, v in zip([as_time if a.is_time or b.is_time else as_double if a.is_number or b.is_number else as_text] * 2, (a, b)))
+        found = df.select(right.alias(other))
+        counts = found.agg(F.count(F.lit(1)).alias("n"), F.count(other).alias("k")).select(F.when(F.col("n") == 0, 0).when(F.col("k") < F.col("n"), 2).otherwise(1).alias(flag))
+        rows = low.scope.df.withColumn(key, left).join(found.where(F.col(other).isNotNull()), F.col(key) == F.col(other), "left_anti")
+        state = counts.scalar()  # 0: empty, 1: no null, 2: a null among them
+        return rows.where((state == 0) | (state == 1) & F.col(key).isNotNull()).drop(key)
+
     def grouped(self, low: Lowering, group: list[N.Node], used: list) -> Lowering:
         """Aggregates, then a lowering in which keys, aggregates and first values are known."""
         calls = list(dict.fromkeys(find_aggregates([u for u in used if u is not None])))
-        if any(c.name in ("ARRAY_AGG", "LIST", "JSON_ARRAYAGG", "STRING_AGG", "MIN_BY", "MAX_BY", "ARG_MIN", "ARG_MAX") for c in calls):
-            name = self.fresh()
-            low = replace(low, scope=replace(low.scope, df=low.scope.df.withColumn(name, F.monotonically_increasing_id())), ordinal=name)
         keys = list(dict.fromkeys(group))
         firsts: dict[N.Name, None] = {}
 
@@ -628,8 +693,14 @@ class Compiler:
         for u in used:
             if u is not None:
                 free(u)
+        ordered = any(c.name in ("ARRAY_AGG", "LIST", "JSON_ARRAYAGG", "STRING_AGG", "MIN_BY", "MAX_BY", "ARG_MIN", "ARG_MAX") for c in calls)
+        if ordered or firsts and low.scope.outer is None:
+            name = self.fresh()
+            low = replace(low, scope=replace(low.scope, df=low.scope.df.withColumn(name, F.monotonically_increasing_id())), ordinal=name)
         key_ids = {k: self.fresh() for k in keys}
-        made = [low.aggregate(c) for c in calls] + [F.first(F.col(n.name)) for n in firsts]
+        # The group's first row by input order, whatever order a shuffle brings rows in; within a struct nulls count too.
+        first = lambda n: F.min_by(F.struct(F.col(n.name).alias("v")), F.col(low.ordinal)).getField("v") if low.ordinal else F.first(F.col(n.name))
+        made = [low.aggregate(c) for c in calls] + [first(n) for n in firsts]
         ids = [self.fresh() for _ in made]
         columns = [c.alias(i) for c, i in zip(made, ids)]
         key_columns = [low.column(k).alias(i) for k, i in key_ids.items()]
@@ -680,8 +751,11 @@ class Compiler:
         entries = [Entry(None, name, i, v.type) for (name, v, _), i in zip(columns, ids)]
         if not node.distinct:
             df = scope.df
-            if order:
+            if order and (scope.outer is not None or low.known):
                 df = df.orderBy(*low.sort_keys(order))
+            elif order:  # rows that tie keep their input order
+                tie = self.fresh()
+                df = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*low.sort_keys(order), tie)
             df = df.select(*made)
         else:
             shown = {e: i for (_, _, e), i in zip(columns, ids)}
@@ -707,6 +781,11 @@ class Compiler:
         return ranked.where(F.col(nth) == 1).orderBy(*keys).select(*ids)
 
 
+def conjuncts(e: N.Node) -> list[N.Node]:
+    """The conditions that AND joins, in order."""
+    return [*conjuncts(e.left), *conjuncts(e.right)] if isinstance(e, N.Binary) and e.op == "AND" else [e]
+
+
 def compile_query(spark: SparkSession, node: N.Node, tables: dict[str, DataFrame], functions: dict | None = None) -> DataFrame:
     df, out = Compiler(spark, tables, functions).query(node, {}, None)
     return df.select([F.col(e.id).alias(e.name) for e in out])
