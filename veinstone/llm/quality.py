@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from veinstone.llm.common import held_out, map_frames, read_table
 from veinstone.llm.labelled import training_rows
 
-BUCKETS = 4096
+BUCKETS = 1 << 15
 DIM = 48
 NONZERO = 2
 WINDOW = 2
