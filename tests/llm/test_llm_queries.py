@@ -134,8 +134,10 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
-def test_embeddings_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [64, 6, 1])
+def test_embeddings_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "HOT", hot)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 16))
     x = np.concatenate([x, x[:30] + 0.1 * rng.normal(size=(30, 16)), x[:5], 2 * x[5:8]])

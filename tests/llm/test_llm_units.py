@@ -442,6 +442,17 @@ def test_list_decoding_finds_what_exceeds():
         assert len(got) >= min(embedding_dedup.LEAST, 512)
 
 
+def test_sign_sketches_keep_links():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    differ = np.bitwise_count((embedding_dedup.sketches(x) ^ embedding_dedup.sketches(y)).view(np.uint64)).sum(1)
+    assert differ.max() <= embedding_dedup.most_bits(0.9) < 50
+
+
 def test_filter_recall_at_the_threshold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 64))
@@ -449,12 +460,12 @@ def test_filter_recall_at_the_threshold():
     g = rng.normal(size=x.shape)
     g -= (g * x).sum(1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1, keepdims=True)
-    code = embedding_dedup.Code(64, embedding_dedup.code_size(50_000))
+    code = embedding_dedup.Code(64, *embedding_dedup.code_size(50_000))
     shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y))]
     assert np.mean(shared) >= 0.95
 
 
-@pytest.mark.parametrize("n", [20_000, 200_000, 1_000_000, 4_000_000])
+@pytest.mark.parametrize("n", [20_000, 200_000, 1_000_000, 4_000_000, 40_000_000])
 def test_filter_recall_stays_as_tables_grow(n):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 64))
@@ -462,7 +473,7 @@ def test_filter_recall_stays_as_tables_grow(n):
     g = rng.normal(size=x.shape)
     g -= (g * x).sum(1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1, keepdims=True)
-    code = embedding_dedup.Code(64, embedding_dedup.code_size(n))
+    code = embedding_dedup.Code(64, *embedding_dedup.code_size(n))
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y))]) >= 0.975
 
 

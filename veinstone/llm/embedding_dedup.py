@@ -2,19 +2,26 @@
 
 A filter is a direction; a vector belongs to it if their inner product exceeds
 a threshold.  Directions form a product code: a random rotation, then one of
-`size` random codewords in each of three blocks, so the size**3 directions need
-no storage and each vector's filters are found by list decoding (pairs of
-blocks that can still reach the threshold, then the third).  The code grows
-with the number of vectors so that a filter holds few unrelated ones, and a
-vector that exceeds the threshold for few directions takes its best ones.
-Narrower filters part near vectors more often, so a vector's filters grow in
-number with the code and the chance of a shared one stays (see README).
-
-Equal vectors collapse first.  Vectors meet in their filters, where cosines in
-double precision decide.  A link counts only in the smallest filter that both
-ends share, so it counts once; a filter emits one row per member (its links and
-the root of its part), never its pairs.  Filters above BLOCK members are dealt
-out as pairs of blocks, so no task holds a whole hot filter.
+`size` random codewords in each of several blocks, so the size**blocks
+directions need no storage and each vector's filters are found by list decoding:
+block by block, only the beginnings that can still reach the threshold go on.
+The code grows with the number of vectors, in codewords and then in blocks, so
+that a filter holds few unrelated ones, and a vector that exceeds the threshold
+for few directions takes its best ones.  Narrower filters part near vectors more
+often, so a vector's filters grow in number with the code and the chance of a
+shared one stays (see README).
+
+1. Equal vectors collapse first.  A row for each vector and filter carries a
+   128-bit sign sketch, not the vector.
+2. In filters of up to HOT members, the pairs whose sketches leave a link
+   possible (a true link is dropped with probability below 1e-8) are candidates;
+   repeats go, the vectors are joined once, and cosines in double precision
+   decide.
+3. Larger filters are dealt out as pairs of blocks of BLOCK members, with their
+   vectors, and cosines decide there.  A link counts only if its ends share no
+   smaller filter (one that step 2 compared, or a large one of smaller number),
+   so it counts once; a block emits one row per member (its links and the root
+   of its part), never its pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing.  Only vectors of equal dimension can link.
@@ -22,6 +29,7 @@ with nothing.  Only vectors of equal dimension can link.
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -30,75 +38,84 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, materialize, read_table
+from veinstone.llm.common import discard, map_frames, materialize, read_table
 from veinstone.llm.near_dedup import MOST_SENT, components
 
 LINK = 0.9
-BLOCKS = 3
-#: A vector's filters, on average and at least, in codes of up to STEADY words a block; they grow as the power GROWTH of larger ones.
+#: A vector's filters, on average and at least, in codes of up to STEADY**3 filters; they grow as the power GROWTH of larger ones.
 MEAN, LEAST = 36, 30
 STEADY, GROWTH = 36, 0.55
-MOST_WORDS = 400
+#: From so many codewords a block on, the code gets another block.
+MOST_WORDS = 256
 CROWD = 8
-BLOCK = 1024
+HOT, BLOCK = 64, 1024
 _codes: dict = {}
 
 
-def growth(size: int) -> float:
-    """How many times MEAN filters a vector has in a code of this size."""
-    return max(1.0, size / STEADY) ** GROWTH
+def growth(filters: float) -> float:
+    """How many times MEAN filters a vector has in a code of so many."""
+    return max(1.0, filters ** (1 / 3) / STEADY) ** GROWTH
 
 
 class Code:
-    """The product code for one dimension."""
+    """The product code for one dimension, of size words in each of `blocks` blocks."""
 
-    def __init__(self, dim: int, size: int, seed: int = 17):
+    def __init__(self, dim: int, size: int, blocks: int = 3, seed: int = 17):
         rng = np.random.default_rng([seed, dim, size])
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-        edges = np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
+        edges = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
         self.parts = list(zip(edges[:-1], edges[1:]))
         self.size = size
-        self.least = round(LEAST * growth(size))
+        self.least = round(LEAST * growth(float(size) ** blocks))
         self.words = []
         for a, b in self.parts:
             w = rng.normal(size=(size, b - a))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(self.parts)))
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, MEAN * growth(size) / float(size) ** len(self.parts))) / np.sqrt(dim)
+        self.threshold = NormalDist().inv_cdf(1 - min(0.5, MEAN * growth(float(size) ** blocks) / float(size) ** len(self.parts))) / np.sqrt(dim)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Ascending filter numbers of every row of x (unit vectors)."""
         y = x @ self.rotation
         scores = [y[:, a:b] @ w.T for (a, b), w in zip(self.parts, self.words)]
-        while len(scores) < BLOCKS:
-            scores.append(np.zeros((len(x), 1)))
-        widths = [s.shape[1] for s in scores]
+        every = self.size ** len(self.parts)
         out = []
-        for s1, s2, s3 in zip(*scores):
-            pair = (s1[:, None] + s2[None, :]).ravel()
-            top3, threshold = s3.max(), self.threshold
+        for row in zip(*scores):
+            rest = np.append(np.cumsum([s.max() for s in row][::-1])[::-1][1:], 0.0)  # the most that later blocks can add
+            threshold = self.threshold
             while True:
-                rows = np.flatnonzero(pair >= threshold - top3)
-                value = pair[rows][:, None] + s3[None, :]
-                i, j = np.nonzero(value >= threshold)
-                if len(i) >= self.least or len(i) == len(pair) * widths[2]:
+                name, value = np.zeros(1, np.int64), np.zeros(1)
+                for s, more in zip(row, rest):
+                    fits = s >= threshold - more - value.max()  # no beginning goes on with the other words
+                    words = np.flatnonzero(fits)
+                    sums = value[:, None] + s[words][None, :]
+                    i, j = np.nonzero(sums >= threshold - more)
+                    name, value = name[i] * self.size + words[j], sums[i, j]
+                    if not len(name):
+                        break
+                if len(name) >= self.least or len(name) == every:
                     break
                 threshold -= 0.1 * max(abs(self.threshold), 0.05)
-            if threshold < self.threshold and len(i) > self.least:
-                best = np.argsort(-value[i, j], kind="stable")[: self.least]
-                i, j = i[best], j[best]
-            out.append(np.sort(rows[i].astype(np.int64) * widths[2] + j))
+            if threshold < self.threshold and len(name) > self.least:
+                name = name[np.argsort(-value, kind="stable")[: self.least]]
+            out.append(np.sort(name))
         return out
 
 
-def _code(dim: int, size: int) -> Code:
-    if (dim, size) not in _codes:
-        _codes[dim, size] = Code(dim, size)
-    return _codes[dim, size]
+def _code(dim: int, size: int, blocks: int) -> Code:
+    if (dim, size, blocks) not in _codes:
+        _codes[dim, size, blocks] = Code(dim, size, blocks)
+    return _codes[dim, size, blocks]
 
 
-def code_size(n: int) -> int:
-    """Codewords per block for n vectors: about CROWD unrelated vectors in a filter."""
-    return next((s for s in range(6, MOST_WORDS) if s**BLOCKS * CROWD >= n * MEAN * growth(s)), MOST_WORDS)
+def code_size(n: int) -> tuple[int, int]:
+    """(codewords a block, blocks) for n vectors: about CROWD unrelated vectors in a filter."""
+    blocks = 3
+    while True:
+        for size in range(6, MOST_WORDS + 1):
+            filters = float(size) ** blocks
+            if filters * CROWD >= n * MEAN * growth(filters):
+                return size, blocks
+        blocks += 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -129,23 +146,84 @@ def _by_dimension(units: pd.Series):
         yield rows, np.frombuffer(b"".join(units.iloc[rows]), np.float64).reshape(len(rows), -1)
 
 
-def filters(nodes: DataFrame, size: int, vectors: bool) -> DataFrame:
-    """A row for each node and filter; with vectors, what a bucket needs to decide."""
+def _number(lists: list[np.ndarray], dim: int) -> np.ndarray:
+    """Filters of different dimensions are different."""
+    return np.concatenate(lists) ^ (dim << 44)
+
+
+def sketches(x: np.ndarray, seed: int = 23) -> np.ndarray:
+    """Signs of 128 random directions of every row, as two 64-bit numbers."""
+    bits = x @ np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], 128)) >= 0
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_bits(link: float) -> int:
+    """Signs in which the sketches of a link may differ: six standard deviations above the mean."""
+    p = math.acos(min(1.0, max(-1.0, link))) / math.pi
+    return math.ceil(128 * p + 6 * math.sqrt(128 * p * (1 - p)))
+
+
+def filters(nodes: DataFrame, code: tuple[int, int]) -> DataFrame:
+    """A row for each node and filter, with the node's sketch."""
 
     def run(batches):
         for b in batches:
             for rows, x in _by_dimension(b["unit"]) if len(b) else ():
-                lists = _code(x.shape[1], size).decode(x)
-                each = [len(f) for f in lists]
-                out = {"filter": np.concatenate(lists) + x.shape[1] * (1 << 40), "nid": np.repeat(b["nid"].to_numpy()[rows], each)}
-                if vectors:
-                    take = np.repeat(np.arange(len(rows)), each)
-                    # A bucket needs the vector's smaller filters only; they are below MOST_WORDS**3.
-                    raw, units = [f[:k].astype("<u4").tobytes() for f in lists for k in range(len(f))], b["unit"].to_numpy()[rows]
-                    out |= {"times": np.repeat(b["times"].to_numpy()[rows], each), "unit": units[take], "filters": raw}
-                yield pd.DataFrame(out)
+                lists = _code(x.shape[1], *code).decode(x)
+                take = np.repeat(np.arange(len(rows)), [len(f) for f in lists])
+                signs = sketches(x)
+                yield pd.DataFrame({"filter": _number(lists, x.shape[1]), "nid": b["nid"].to_numpy(np.int64)[rows][take], "s0": signs[take, 0], "s1": signs[take, 1]})
+
+    return map_frames(nodes.select("nid", "unit"), run, "filter long, nid long, s0 long, s1 long")
+
 
-    return nodes.mapInPandas(run, "filter long, nid long" + ", times long, unit binary, filters binary" * vectors)
+def near_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b), a < b: members of a filter whose sketches differ in `most` bits at most; rows are sorted by filter in their partitions."""
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = rest["filter"].to_numpy(np.int64)
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last filter may go on
+            yield pairs(rest.iloc[:whole])
+            rest = rest.iloc[whole:]
+        if rest is not None:
+            yield pairs(rest)
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        key, nid, s0, s1 = (rows[c].to_numpy(np.int64) for c in ("filter", "nid", "s0", "s1"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, HOT + 1):  # neighbours in a filter, then the next but one ...
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            bits = sum(np.bitwise_count((s[i] ^ s[i + d]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
+            i = i[bits <= most]
+            a.append(nid[i])
+            b.append(nid[i + d])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return map_frames(rows.select("filter", "nid", "s0", "s1"), run, "a long, b long", 1 << 16)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, link: float) -> DataFrame:
+    """(a, b, ta, tb): the pairs whose vectors link, with how many rows each stands for."""
+
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(len(b), bool)
+            same = (b["ua"].map(len) == b["ub"].map(len)).to_numpy(bool)
+            for rows, x in _by_dimension(b["ua"][same]) if same.any() else ():
+                rows = np.flatnonzero(same)[rows]
+                y = np.frombuffer(b"".join(b["ub"].iloc[rows]), np.float64).reshape(len(rows), -1)
+                keep[rows] = np.einsum("ij,ij->i", x, y) >= link
+            yield b.loc[keep, ["a", "b", "ta", "tb"]]
+
+    left = nodes.select(F.col("nid").alias("a"), F.col("times").alias("ta"), F.col("unit").alias("ua"))
+    right = nodes.select(F.col("nid").alias("b"), F.col("times").alias("tb"), F.col("unit").alias("ub"))
+    return map_frames(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "ua", "ub"), run, "a long, b long, ta long, tb long", 4096)
 
 
 def _bucket(group: pd.DataFrame, crossed: bool, link: float) -> pd.DataFrame | None:
@@ -158,7 +236,11 @@ def _bucket(group: pd.DataFrame, crossed: bool, link: float) -> pd.DataFrame | N
         near &= side[:, None] != side[None, :]
     if not near.any():
         return None
-    lists = [np.frombuffer(f, "<u4") for f in group["filters"]]
+    here = group["filter"].iloc[0]
+    lists = []
+    for every, hot in zip(group["filters"], group["hot"]):
+        every = np.frombuffer(every, np.int64)
+        lists.append(every[~np.isin(every, hot) | (every < here)])  # where the pair is compared before
     member = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
     earlier, column = np.unique(np.concatenate(lists), return_inverse=True)
     met = np.zeros((len(lists), max(1, len(earlier))), np.float32)
@@ -202,25 +284,47 @@ def bucket_links(rows: DataFrame, link: float) -> DataFrame:
     return rows.mapInPandas(run, "nid long, links long, root long")
 
 
+def hot_links(rows: DataFrame, hot: DataFrame, nodes: DataFrame, code: tuple[int, int], link: float) -> DataFrame:
+    """(nid, links, root) parts from the filters of more than HOT members."""
+
+    def run(batches):
+        for b in batches:
+            for at, x in _by_dimension(b["unit"]) if len(b) else ():
+                lists = _code(x.shape[1], *code).decode(x)
+                yield b.iloc[at].assign(filters=[(f ^ (x.shape[1] << 44)).tobytes() for f in lists])
+
+    members = materialize(rows.join(hot, "filter").select("filter", "nid", "blocks"), "hot-members")
+    mine = members.groupBy("nid").agg(F.collect_list("filter").alias("hot"))
+    packed = map_frames(nodes.select("nid", "times", "unit").join(mine.select("nid"), "nid", "left_semi"), run, "nid long, times long, unit binary, filters binary").join(mine, "nid")
+    dealt = members.withColumn("side", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("filter", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid").join(packed, "nid")
+    return bucket_links(dealt.repartition("filter", "low", "high").sortWithinPartitions("filter", "low", "high"), link)
+
+
 def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     known = materialize(usable(vectors), "vectors")
     grouped = known.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times"), F.min("unit").alias("unit"))
     nodes = materialize(grouped.select(F.monotonically_increasing_id().alias("nid"), "key", "vec_id", "times", "unit"), "vector-nodes")
-    size = code_size(nodes.count())
-
-    hot = filters(nodes.select("nid", "unit"), size, False).groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    hot = materialize(hot, "hot-filters")
-    # Few hot filters are broadcast, so that the rows are shuffled once.
-    rows = filters(nodes.select("nid", "times", "unit"), size, True).join(F.broadcast(hot) if hot.count() <= MOST_SENT else hot, "filter", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("filter", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid", "times", "unit", "filters")
-    rows = rows.repartition("filter", "low", "high").sortWithinPartitions("filter", "low", "high")
-    parts = materialize(bucket_links(rows, link), "vector-links")
-
-    links = parts.groupBy("nid").agg(F.sum("links").alias("links"))
-    labels = components(parts.where("nid <> root").select(F.col("root").alias("a"), F.col("nid").alias("b")).distinct())
+    code = code_size(nodes.count())
+
+    rows = materialize(filters(nodes, code), "vector-filters")
+    sizes = rows.groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(sizes.where(F.col("n") > HOT).select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot-filters")
+    n_hot = hot.count()
+    sent = F.broadcast(hot) if n_hot <= MOST_SENT else hot
+    cold = rows.join(sent, "filter", "left_anti") if n_hot else rows
+    pairs = near_pairs(cold.repartition("filter").sortWithinPartitions("filter"), most_bits(link)).distinct()
+    links = materialize(confirmed(pairs, nodes, link), "vector-links")
+    counts = links.select(F.col("a").alias("nid"), F.col("tb").alias("links")).unionByName(links.select(F.col("b").alias("nid"), F.col("ta").alias("links")))
+    edges = links.select("a", "b")
+    if n_hot:
+        parts = materialize(hot_links(rows, sent, nodes, code, link), "hot-links")
+        counts = counts.unionByName(parts.select("nid", "links"))
+        edges = edges.unionByName(parts.where("nid <> root").select(F.col("root").alias("a"), F.col("nid").alias("b")))
+    discard(rows)
+    links = counts.groupBy("nid").agg(F.sum("links").alias("links"))
+    labels = components(edges)
     named = nodes.select("nid", "key", "vec_id", "times").join(links, "nid", "left").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     least = named.groupBy("label").agg(F.min("vec_id").alias("component_id"))
     by_key = named.join(least, "label").select("key", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
