@@ -42,19 +42,19 @@ from veinstone.llm.common import discard, map_frames, materialize, read_table
 from veinstone.llm.near_dedup import MOST_SENT, components
 
 LINK = 0.9
-#: A vector's filters, on average and at least, in codes of up to STEADY**3 filters; they grow as the power GROWTH of larger ones.
+#: A vector's filters, on average and at least, in codes of up to STEADY**3 filters; they grow as the power GROWTH of larger ones, and with blocks.
 MEAN, LEAST = 36, 30
-STEADY, GROWTH = 36, 0.55
+STEADY, GROWTH, MORE = 36, 0.55, 1.3
 #: From so many codewords a block on, the code gets another block.
-MOST_WORDS = 256
+MOST_WORDS = 400
 CROWD = 8
 HOT, BLOCK = 64, 1024
 _codes: dict = {}
 
 
-def growth(filters: float) -> float:
-    """How many times MEAN filters a vector has in a code of so many."""
-    return max(1.0, filters ** (1 / 3) / STEADY) ** GROWTH
+def growth(size: int, blocks: int) -> float:
+    """How many times MEAN filters a vector has in a code of size**blocks."""
+    return max(1.0, size ** (blocks / 3) / STEADY) ** GROWTH * MORE ** (blocks - 3)
 
 
 class Code:
@@ -66,12 +66,12 @@ class Code:
         edges = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
         self.parts = list(zip(edges[:-1], edges[1:]))
         self.size = size
-        self.least = round(LEAST * growth(float(size) ** blocks))
+        self.least = round(LEAST * growth(size, blocks))
         self.words = []
         for a, b in self.parts:
             w = rng.normal(size=(size, b - a))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(self.parts)))
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, MEAN * growth(float(size) ** blocks) / float(size) ** len(self.parts))) / np.sqrt(dim)
+        self.threshold = NormalDist().inv_cdf(1 - min(0.5, MEAN * growth(size, blocks) / float(size) ** len(self.parts))) / np.sqrt(dim)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Ascending filter numbers of every row of x (unit vectors)."""
@@ -112,8 +112,7 @@ def code_size(n: int) -> tuple[int, int]:
     blocks = 3
     while True:
         for size in range(6, MOST_WORDS + 1):
-            filters = float(size) ** blocks
-            if filters * CROWD >= n * MEAN * growth(filters):
+            if float(size) ** blocks * CROWD >= n * MEAN * growth(size, blocks):
                 return size, blocks
         blocks += 1
 
