@@ -7,12 +7,17 @@ with about the probability of their Jaccard similarity.
 
 1. One pass sketches every whole text.  Equal sets collapse to one node.
 2. Bands of register values make buckets.  Candidates are the pairs of small
-   buckets and, in large ones, the links of all members to one hub.
+   buckets and, in large ones, the links of all members to one hub.  The keys of
+   large buckets are few and go to the rows; a hub's pairs are dealt out in
+   parts of SPLIT, its values copied to each part, so no key is one task's.
 3. A candidate must pass the joint likelihood of its two sketches (set sizes
    known); then the full shingle sets decide.  Large buckets that still hold
    more than one component are compared whole, in blocks of at most two times
-   BLOCK members whose full sets are intersected in one matrix product; a block
-   returns a spanning forest, never its pairs.  So no link is lost.
+   BLOCK members: first by sketches, which leave those members that may link to
+   another component, then by the full sets of these, intersected in one matrix
+   product.  A block returns a spanning forest, never its pairs.  So no link is
+   lost but those that the likelihood (DOUBT) takes for impossible: it keeps a
+   true link with all but about exp(-DOUBT) of its probability.
 4. Components are the fixed point of min-label propagation with pointer
    jumping; labels never come to the driver.
 
@@ -43,6 +48,7 @@ SMALL_BUCKET = 8
 #: Up to so many ids (8 bytes each) are broadcast, so that texts needn't be shuffled; beyond, a shuffled join does the same.
 MOST_SENT = 2_000_000
 BLOCK = 1024
+SPLIT = 1024
 
 
 def sketch(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -126,9 +132,9 @@ def _bands(nodes: DataFrame) -> DataFrame:
         for b in batches:
             if len(b):
                 keys = band_keys(np.frombuffer(b"".join(b["registers"]), "<u2").reshape(len(b), REGISTERS))
-                yield pd.DataFrame({"key": keys.ravel(), "nid": np.repeat(b["nid"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"key": keys.ravel(), "nid": np.repeat(b["nid"].to_numpy(np.int64), BANDS)})
 
-    return nodes.select("nid", "registers").mapInPandas(run, "key long, nid long")
+    return map_frames(nodes.select("nid", "registers"), run, "key long, nid long")
 
 
 def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,7 +159,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"nid": b["nid"], "elements": [s.tobytes() for s in sets]})[keep]
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("text_hash") == F.col("w_text_hash")))
-    return joined.select("nid", "set_id", "text").mapInPandas(run, "nid long, elements binary").dropDuplicates(["nid"])
+    return map_frames(joined.select("nid", "set_id", "text"), run, "nid long, elements binary").dropDuplicates(["nid"])
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def _met(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both ends, as a_ and b_; the pairs of one a are dealt out in parts."""
+    stars = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("a", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "stars")
+    left = values.select(F.col("nid").alias("a"), *[F.col(c).alias("a_" + c) for c in columns])
+    right = values.select(F.col("nid").alias("b"), *[F.col(c).alias("b_" + c) for c in columns])
+    sent, parts = _sent(stars), F.coalesce("parts", F.lit(1))
+    left = left.join(sent, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    dealt = pairs.join(sent, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    return dealt.join(left, ["a", "part"]).join(right, "b").drop("part")
 
 
 def _estimate(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -162,12 +184,10 @@ def _estimate(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFram
     def run(batches):
         for b in batches:
             if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), "<u2").reshape(len(b), REGISTERS) for c in ("ra", "rb"))
-                yield b.loc[plausible(x, y, b["na"].to_numpy(float), b["nb"].to_numpy(float), percent / 100), ["a", "b"]]
+                x, y = (np.frombuffer(b"".join(b[c]), "<u2").reshape(len(b), REGISTERS) for c in ("a_registers", "b_registers"))
+                yield b.loc[plausible(x, y, b["a_n_shingles"].to_numpy(float), b["b_n_shingles"].to_numpy(float), percent / 100), ["a", "b"]]
 
-    left = candidates.select(F.col("nid").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-    right = candidates.select(F.col("nid").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
+    return map_frames(_met(pairs, candidates, ["n_shingles", "registers"]), run, "a long, b long", 4096)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,15 +196,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b["ea"], b["eb"]):
+            for x, y in zip(b["a_elements"], b["b_elements"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    left = sets.select(F.col("nid").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("nid").alias("b"), F.col("elements").alias("eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInPandas(run, "a long, b long")
+    return map_frames(_met(pairs, sets, ["elements"]), run, "a long, b long")
 
 
 def _block_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -227,21 +245,47 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         moved = root != np.arange(len(sets))
         return pd.DataFrame({"a": np.minimum(nid[root], nid)[moved], "b": np.maximum(nid[root], nid)[moved]})
 
-    def run(batches):
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            if not len(b):
-                continue
-            key = b[["key", "low", "high"]].to_numpy()
-            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
-            rest = b.iloc[bounds[-1] :]
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                yield block(b.iloc[s:e])
-        if rest is not None and len(rest):
-            yield block(rest)
+    return rows.mapInPandas(lambda batches: map(block, _blocks(batches)), "a long, b long")
 
-    return rows.mapInPandas(run, "a long, b long")
+
+def _blocks(batches):
+    """The blocks of rows sorted by (key, low, high), each whole."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        rest = b if len(b) else None
+        if not len(b):
+            continue
+        key = b[["key", "low", "high"]].to_numpy()
+        bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+        rest = b.iloc[bounds[-1] :]
+        yield from (b.iloc[s:e] for s, e in zip(bounds[:-1], bounds[1:]))
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, low, high, side, nid) of the members of each block whose sketches leave a link to another component possible."""
+
+    def block(group: pd.DataFrame):
+        x = np.frombuffer(b"".join(group["registers"]), "<u2").reshape(len(group), REGISTERS)
+        n, label, side = group["n_shingles"].to_numpy(float), group["label"].to_numpy(), group["side"].to_numpy()
+        crossed = group["low"].iloc[0] != group["high"].iloc[0]
+        found = np.zeros(len(group), bool)
+        for i in range(len(group)):
+            other = label != label[i]
+            if crossed:
+                other &= side != side[i]
+            at = np.flatnonzero(other[i + 1 :]) + i + 1
+            if len(at):
+                at = at[(x[at] == x[i]).sum(1) >= ROWS]  # a band agrees
+                if len(at):
+                    ok = at[plausible(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), n[i]), n[at], percent / 100)]
+                    found[ok] = True
+                    found[i] |= len(ok) > 0
+        return group.loc[found, ["key", "low", "high", "side", "nid"]]
+
+    return rows.mapInPandas(lambda batches: map(block, _blocks(batches)), "key long, low int, high int, side int, nid long")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -272,9 +316,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("d"), F.min(F.struct("registers", "n_shingles")).alias("s"))
     nodes = materialize(grouped.select(F.monotonically_increasing_id().alias("nid"), "set_id", "d.doc_id", "d.text_hash", "s.n_shingles", "s.registers"), "nodes")
 
-    bands = _bands(nodes)
-    shared = bands.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("size")).where("hub < last")
-    members = materialize(bands.join(shared.select("key", "hub", "size"), "key"), "members")
+    bands = materialize(_bands(nodes), "bands")
+    sizes = bands.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("size")).where("hub < last")
+    shared = materialize(sizes.select("key", "hub", "size"), "buckets")
+    # Keys of very many members go to the rows; the others' rows are dealt out by key.
+    hot = shared.where(F.col("size") > SPLIT)
+    sent = _sent(hot)
+    few = bands.join(_sent(hot.select("key")), "key", "left_anti").join(shared.where(F.col("size") <= SPLIT), "key")
+    members = materialize(few.unionByName(bands.join(sent, "key")), "members")
+    discard(bands)
     candidates = materialize(nodes.join(members.select("nid").distinct(), "nid"), "candidates")
     wanted = candidates.select("nid", "set_id", F.col("doc_id").alias("w_doc_id"), F.col("text_hash").alias("w_text_hash"))
     sets = materialize(_sets(_rows_of(docs, candidates), wanted, width), "sets")
@@ -287,12 +337,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     # Large buckets that hold one component are done; the others are compared in whole blocks.
     open_ = large.select("key", "nid", "size").join(labels, "nid", "left").select("key", "nid", "size", F.coalesce("label", "nid").alias("label"))
     unsettled = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    open_ = materialize(open_.join(unsettled, "key").select("key", "nid", "size"), "open")
+    open_ = materialize(open_.join(_sent(materialize(unsettled, "unsettled")), "key").select("key", "nid", "size", "label"), "open")
     if not open_.isEmpty():
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = open_.join(sets, "nid").withColumn("side", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid", "elements")
-        more = _block_links(rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"), percent)
+        rows = open_.withColumn("side", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid", "label")
+        dealt = lambda df: df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        rows = materialize(_may_link(dealt(rows.join(candidates.select("nid", "n_shingles", "registers"), "nid")), percent), "may-link")
+        more = _block_links(dealt(rows.join(sets, "nid")), percent)
         links = materialize(links.unionByName(more).distinct(), "links")
         labels = components(links)
 
