@@ -303,3 +303,70 @@ def test_chat_links_parts_of_messages(spark):
     rows = [(1, 0, "user", first), (1, 1, "assistant", "something else")] + [(1, 2 + k, "user", q + "\nreply") for k, q in enumerate(quotes)]
     got = {r["turn"]: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(got[t]["reply_turn"], got[t]["linked_by"], got[t]["n_quoted"], got[t]["n_linked"]) for t in (2, 3, 4, 5)] == [(0, "quote", 1, 1)] * 3 + [(4, "previous", 1, 0)]
+
+
+def _chat_by_brute_force(rows):
+    """Reply and thread of each message, one by one."""
+    parsed = [chat.parse(t) for *_, t in rows]
+    held = {}
+    for (c, t, *_), (own, _) in zip(rows, parsed):
+        for h in chat.own_passages(own):
+            held.setdefault(h, []).append((c, t))
+    out = []
+    for (c, t, *_), (own, quoted) in zip(rows, parsed):
+        best, linked = None, set()
+        for k, (level, q) in enumerate(quoted):
+            for h, words, part in chat.units(q):
+                places = held.get(h, [])
+                mine = min((x for x in places if x[0] == c), default=None)
+                others = len({x[0] for x in places} - {c})
+                if mine and mine[1] < t and (not part or words >= chat.LEAST_WORDS or others == 0):
+                    found = (level, part, 0, mine)
+                elif places and min(places) < (c, t) and min(places)[0] != c and (words >= chat.LEAST_WORDS or others == 1):
+                    found = (level, part, 1, min(places))
+                else:
+                    continue
+                linked.add(k)
+                best = found if best is None else min(best, found)
+        before = max((x[1] for x in rows if x[0] == c and x[1] < t), default=None)
+        reply = best[3] if best else (c, before) if before is not None else None
+        out.append((c, t, own, reply, "quote" if best else "previous" if reply else "none", len(quoted), len(linked)))
+    ids = sorted({r[0] for r in rows})
+    root = unions(len(ids), [(ids.index(o[0]), ids.index(o[3][0])) for o in out if o[3]])
+    return [(*o, ids[root[ids.index(o[0])]]) for o in out]
+
+
+def test_chat_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    sentences = ["Thanks a lot.", "Yes", "How do I bake bread at home?", "Use flour and water for it.", "Then wait for one hour.", "My oven is far too hot today.", "Nobody knows.", "Buy a scale for the flour."]
+    rows = []
+    for c in range(25):
+        for t in range(rng.randint(1, 6)):
+            own = "\n".join(rng.choice(sentences) + rng.choice(["", f" {rng.choice(sentences)}", "\n"]) for _ in range(rng.randint(0, 2)))
+            lines = []
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                lines += [rng.choice(["> ", ">> ", "> > "]) + x for x in rng.choice(rows)[3].split("\n")] if rows and rng.random() < 0.8 else ["> words that nobody wrote"]
+            rows.append((c, t, "user", "\n".join([*lines, own]) if lines else own))
+    rows.append((30, 0, "user", rows[0][3]))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(_chat_by_brute_force(rows), key=repr)
+    got = chat.link(frame).collect()
+    assert sorted(((r["conv_id"], r["turn"], r["text"], (r["reply_conv"], r["reply_turn"]) if r["reply_turn"] is not None else None, r["linked_by"], r["n_quoted"], r["n_linked"], r["thread_id"]) for r in got), key=repr) == want
+    assert sum(r["linked_by"] == "quote" for r in got) > 10
+    place = {(r["conv_id"], r["turn"]): (r["thread_id"], r["position"]) for r in got}
+    for r in got:  # a reply stands after its original, in its thread
+        if r["reply_turn"] is not None:
+            thread, position = place[r["reply_conv"], r["reply_turn"]]
+            assert thread == r["thread_id"] and position < r["position"]
+    for thread in {r["thread_id"] for r in got}:
+        assert sorted(r["position"] for r in got if r["thread_id"] == thread) == list(range(sum(r["thread_id"] == thread for r in got)))
+    texts = {(r["thread_id"], r["part"]): r for r in chat.conversations(chat.link(frame), 2).collect()}
+    assert sum(r["n_messages"] for r in texts.values()) == len(rows) and max(r["n_messages"] for r in texts.values()) <= 2
+
+
+def test_chat_edge_cases(spark):
+    rows = [(1, 0, None, "word " * 30_000), (1, 1, "a", "> " + "word " * 30_000 + "\nyes"), (1, 1, "a", "> " + "word " * 30_000 + "\nyes"), (None, None, None, None), (None, 3, "x", ""), (5, None, "x", "> yes")]
+    got = chat.link(spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, thread_id string")).collect()
+    assert len(got) == len(rows)
+    assert [(r["reply_turn"], r["linked_by"]) for r in got if r["conv_id"] == 1 and r["turn"] == 1] == [(0, "quote")] * 2
+    assert sorted(r["position"] for r in got if r["conv_id"] == 1) == [0, 1, 2] and sorted(r["position"] for r in got if r["conv_id"] is None) == [0, 1]

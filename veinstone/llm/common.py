@@ -62,6 +62,28 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+#: Up to so many rows of ids or keys are broadcast; beyond, a shuffled join does the same.
+MOST_SENT = 100_000
+
+
+def join_dealt(rows: DataFrame, values: DataFrame, keys: list[str], split: int = 1024) -> DataFrame:
+    """rows left joined with values, which hold a key once at most.
+
+    The rows of a key that has more than `split` are dealt out in parts, with
+    the key's values copied to each part, so no key is one task's.
+    """
+    parts = F.ceil(F.col("n") / split).cast("int")
+    hot = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select(*keys, parts.alias("parts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(values, keys, "left")
+    sent = F.broadcast(hot) if hot.count() <= MOST_SENT else hot
+    rest = [f.name for f in rows.schema.fields if f.name not in keys and not isinstance(f.dataType, T.MapType)]
+    # By the row's own values, so that a task that runs again deals it out alike.
+    dealt = rows.join(sent, keys, "left").withColumn("part", F.pmod(F.xxhash64(*rest), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = values.join(sent, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, [*keys, "part"], "left").drop("part")
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most `rows` rows and, unless one row alone is larger, `size` bytes: texts can be long."""
     if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > size):

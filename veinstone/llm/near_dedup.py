@@ -310,8 +310,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return state.select("nid", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _labelled(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Every document's signature, and (set_id, doc_id, text_hash, label) of every distinct set."""
     signed = materialize(signatures(docs, width), "signatures")
     grouped = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("d"), F.min(F.struct("registers", "n_shingles")).alias("s"))
     nodes = materialize(grouped.select(F.monotonically_increasing_id().alias("nid"), "set_id", "d.doc_id", "d.text_hash", "s.n_shingles", "s.registers"), "nodes")
@@ -348,7 +348,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         links = materialize(links.unionByName(more).distinct(), "links")
         labels = components(links)
 
-    named = nodes.select("nid", "set_id", "doc_id").join(labels, "nid", "left").select("set_id", "doc_id", F.coalesce("label", "nid").alias("label"))
+    for spent in (members, candidates, sets, open_, shared):
+        discard(spent)
+    return signed, nodes.select("nid", "set_id", "doc_id", "text_hash").join(labels, "nid", "left").select("set_id", "doc_id", "text_hash", F.coalesce("label", "nid").alias("label"))
+
+
+def superseded(docs: DataFrame, percent: int = 85, width: int = 5) -> tuple[DataFrame, bool]:
+    """(doc_id, text_hash) of the documents to drop so that one of each group stays, and whether equal rows repeat.
+
+    The one of smallest id stays, rows without an id last, and of equal ids the
+    text of smallest xxhash64.  Documents without shingles are in no group.
+    """
+    signed, named = _labelled(docs, percent, width)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = named.groupBy("label").agg(F.min(rank).alias("stays"))
+    signed = signed.where("set_id is not null")
+    rows = signed.join(named.join(stays, "label").select("set_id", "stays"), "set_id")
+    repeats = not signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return rows.where(rank != F.col("stays")).select("doc_id", "text_hash").distinct(), repeats
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    signed, named = _labelled(docs, percent, width)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = named.join(least, "label").select("set_id", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_id").join(component, "set_id", "left")
