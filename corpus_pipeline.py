@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over the documents table, each one operator."""
+"""The corpus pipeline: stages over the documents table, each one operator.
+
+All stages but the last return the columns they were given, others than those
+of documents too.
+"""
 
 from __future__ import annotations
 
@@ -9,47 +13,51 @@ from pyspark.sql import functions as F
 from veinstone.llm import decontamination, near_dedup, packing, pii, toxicity
 from veinstone.llm.common import materialize, read_table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The least similarity of near copies, in hundredths.
 NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores under 0.5 stay."""
+    """Documents that the factorization machine scores under 0.5 stay.
+
+    Null and empty texts get the score of the bias, so they stay unless most
+    labels are toxic.  Equal rows are judged alike.
+    """
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs.select(COLUMNS), model)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of smallest id.
 
     Near are texts whose sets of five-word shingles have similarity 0.8 or more (op9's own query takes 0.85).
-    Where ids repeat, equal rows become one.  Rows without an id stay: they
-    can't name a group.
+    Rows without an id stay only if no other row of their group has one.  Where
+    ids repeat, the texts decide: equal rows become one, and near copies of one
+    id leave one.  Texts without words, null ones too, are in no group and stay.
     """
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("doc_id is not null").groupBy("doc_id")
-    found = materialize(found.agg(F.max("kept").alias("kept"), F.count(F.when(F.col("kept"), 1)).alias("times")), "found")
-    dropped = found.where("not kept").select("doc_id")
-    out = docs.select(COLUMNS)
-    if dropped.count() <= near_dedup.MOST_SENT:
-        out = out.join(F.broadcast(dropped), "doc_id", "left_anti")
-    else:
-        out = out.join(dropped, "doc_id", "left_anti")
-    return out if found.where("times > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    gone, repeats = near_dedup.superseded(docs, NEAR_PERCENT)
+    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "superseded")
+    sent = F.broadcast(gone) if gone.count() <= near_dedup.MOST_SENT else gone
+    mine = F.xxhash64(docs["text"])
+    out = docs.join(sent, docs["doc_id"].eqNullSafe(sent["gone_id"]) & (mine == sent["gone_hash"]), "left_anti")
+    if not repeats:
+        return out
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return out.where(worded).dropDuplicates(["doc_id", "text"]).unionByName(out.where(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage stay."""
-    return decontamination.keep_clean(docs.select(COLUMNS), read_table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark passage stay; null and empty texts hold none, equal rows are judged alike."""
+    return decontamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes its type's mark."""
-    return pii.redacted(docs.select(COLUMNS))
+    """Personal data becomes its type's mark; null texts stay null, equal rows stay equal."""
+    return pii.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its place in a sequence."""
+    """One row per piece of a document with its place in a sequence; null and empty texts are one piece of one token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
