@@ -287,6 +287,28 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, monkeypatch):
         assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "no id"), (3, long), (9, "other words here"), (10, ""), (11, "")]
 
 
+def test_near_dedup_stage_keeps_one_row_of_an_id_with_near_copies(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, long + " a"), (3, long + " b"), (None, long + " c"), (None, "alone here"), (None, "alone here"), (None, ""), (None, ""), (4, None), (4, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, gone_hash string"), SMALL)
+    assert got.columns == ["doc_id", "text", "gone_hash"]
+    kept = sorted(map(repr, (tuple(r)[:2] for r in got.collect())))
+    assert sum("w1 " in k for k in kept) == 1 and sum("(3, " in k for k in kept) == 1
+    assert sum("alone here" in k for k in kept) == 1 and kept.count("(None, '')") == 2 and kept.count("(4, None)") == 2
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    odd = [(1, None, "x"), (1, None, "x"), (2, "", "y"), (None, "no id but words", None), (3, "word " * 40_000, "z"), (5, "plain text of a few words", "z"), (5, "plain text of a few words", "z")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, label string")
+    for frame, rows in ((docs, 6), (docs.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, SMALL)
+            assert out.columns == docs.columns
+            frame = near_dedup.materialize(out, "odd")
+        assert frame.count() == rows
+        assert corpus_pipeline.pack_sequences(spark, frame, SMALL).select("doc_id").distinct().count() == min(rows, 5)
+
+
 def test_near_dedup_stage_drops_copies_between_80_and_85_percent(spark):
     words = [f"w{k}" for k in range(60)]
     changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
