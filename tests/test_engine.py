@@ -220,3 +220,27 @@ def test_like_without_inner_marks_needs_no_regular_expression(numbers):
 def test_large_numbers_keep_their_value(numbers):
     got = numbers.sql("SELECT FLOOR(1e20) AS a, ROUND(1e20) AS b, ROUND(12345678901234.5, 6) AS c, CEIL(-1e300) AS d, ROUND(2.5) AS e, ROUND(-2.5) AS f").collect()[0]
     assert tuple(got) == (1e20, 1e20, 12345678901234.5, -1e300, 3.0, -2.0)
+
+
+def test_plan_and_execute(numbers):
+    plan = numbers.plan("SELECT COUNT(*) AS n FROM t WHERE k = 1")
+    assert plan.columns == ["n"] and numbers.execute(plan) == [{"n": 143}]
+
+
+def test_functions_without_arguments(numbers):
+    async def later():
+        return "later"
+
+    numbers.function("NOW_IS", lambda: "now")
+    numbers.function("LATER_IS", later)
+    got = numbers.sql("SELECT NOW_IS() AS a, LATER_IS() AS b FROM u").collect()
+    assert {tuple(r) for r in got} == {("now", "later")} and len(got) == 50
+
+
+def test_percentiles_of_all_rows_are_not_one_buffer(spark, numbers):
+    query = "SELECT MEDIAN(id) AS m, PERCENTILE_CONT(0.9, k) FILTER (WHERE id > 500) AS p, APPROX_QUANTILE(s, 0.25) AS q, COUNT(*) AS n FROM t"
+    assert "percentile(" not in _plan(numbers.sql(query))
+    want = spark.range(1000).selectExpr("percentile(id, 0.5)", "percentile(CASE WHEN id > 500 THEN id % 7 END, 0.9)", "percentile(id, 0.25)", "count(*)").first()
+    assert tuple(numbers.sql(query).first()) == tuple(want)
+    assert numbers.sql("SELECT MEDIAN(id) AS m FROM t WHERE id < 0").collect()[0]["m"] is None
+    assert len(numbers.sql("SELECT MEDIAN(id) AS m FROM t").collect()) == 1

@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from veinstone.sources.tables import custom_source, to_batches
+from veinstone.sources.tables import custom_source, from_batches, to_batches
 from veinstone.spatial import geometry as G
-from veinstone.streaming.windows import rows, tumbling
+from veinstone.streaming.windows import Cancellable, rows, tumbling
 
 
 def shape(wkt):
@@ -62,6 +62,7 @@ def test_custom_source(spark):
     df = spark.read.format("tens").load()
     assert df.where("id > 6").count() == 3
     batches = list(to_batches(df.orderBy("id"), 4))
+    assert list(from_batches(batches)) == [{"id": i, "name": f"n{i}"} for i in range(10)]
     assert [b.num_rows for b in batches] == [4, 4, 2] and batches[0].column(1)[0].as_py() == "n0"
 
 
@@ -76,3 +77,27 @@ def test_tumbling_bounded_and_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbled").agg(F.sum("n")).first()[0] == n
+
+
+def test_a_running_query_is_cancelled(spark):
+    import threading
+    import time
+
+    ended = []
+
+    def work():
+        try:
+            with Cancellable(spark, "endless"):
+                spark.range(10**13).selectExpr("sum(id % 7)").collect()
+        except Exception as e:  # noqa: BLE001
+            ended.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    for _ in range(60):
+        time.sleep(0.5)
+        Cancellable(spark, "endless").cancel()
+        if not thread.is_alive():
+            break
+    thread.join(10)
+    assert not thread.is_alive() and ended

@@ -40,13 +40,25 @@ class Engine:
         return _parse(query, self.functions)
 
     def sql(self, query: str | N.Node, tables: dict[str, Any] | None = None, functions: dict[str, Any] | None = None) -> DataFrame:
-        """The query's result, not yet computed."""
+        """The query's result, not yet computed.
+
+        Positional joins and row numbers over all rows need partitions that
+        don't change: behind a shuffle their input is checkpointed here already.
+        """
         also = {k.upper(): user_function(f) for k, f in (functions or {}).items()}
         every = self.functions | also
         extra = {k: t if isinstance(t, DataFrame) else from_rows(self.spark, t) for k, t in (tables or {}).items()}
         node = _parse(query, every) if isinstance(query, str) else query
         return compile_query(self.spark, node, self.tables | extra, every)
 
+    def plan(self, query: str | N.Node) -> DataFrame:
+        """The query's plan: names and types are resolved, and errors in them raised.  A DataFrame is a plan to Spark."""
+        return self.sql(query)
+
+    def execute(self, plan: DataFrame) -> list[dict]:
+        """The rows of a plan."""
+        return collect(plan)
+
     def explain(self, query: str) -> str:
         """Spark's plan of the query."""
         return self.sql(query)._jdf.queryExecution().toString()

@@ -38,7 +38,7 @@ def _kept(c: Column, where: Column | None) -> Column:
     return c if where is None else F.when(where, c)
 
 
-def _numeric(v: Val) -> Column:
+def numeric(v: Val) -> Column:
     """Text that isn't a number, NaN and infinities count as missing; integers stay exact."""
     if v.is_integer or isinstance(v.type, T.DecimalType):
         return v.col
@@ -66,13 +66,13 @@ def countif(args, where, distinct, order):
 
 @aggregate("SUM")
 def total(args, where, distinct, order):
-    c = _kept(_numeric(args[0]), where)
+    c = _kept(numeric(args[0]), where)
     return F.sum_distinct(c) if distinct else F.sum(c)
 
 
 @aggregate("AVG")
 def average(args, where, distinct, order):
-    c = _kept(_numeric(args[0]), where)
+    c = _kept(numeric(args[0]), where)
     return F.expr("1") * F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c)
 
 
@@ -114,24 +114,24 @@ def any_value(args, where, distinct, order):
 
 @aggregate("STDDEV_SAMP")
 def stddev_samp(args, where, distinct, order):
-    return F.stddev_samp(_kept(_numeric(args[0]), where))
+    return F.stddev_samp(_kept(numeric(args[0]), where))
 
 
 @aggregate("STDDEV_POP")
 def stddev_pop(args, where, distinct, order):
-    return F.stddev_pop(_kept(_numeric(args[0]), where))
+    return F.stddev_pop(_kept(numeric(args[0]), where))
 
 
 def _percentile(v: Val, fraction: Val, where) -> Column:
     f = fraction.literal[0] if fraction.literal else None
     if not isinstance(f, (int, float)) or isinstance(f, bool) or not 0 <= f <= 1:
         raise ArgumentError("The fraction must be a number from 0 to 1")
-    return F.percentile(_kept(_numeric(v), where), F.lit(float(f)))
+    return F.percentile(_kept(numeric(v), where), F.lit(float(f)))
 
 
 @aggregate("MEDIAN")
 def median(args, where, distinct, order):
-    return F.percentile(_kept(_numeric(args[0]), where), F.lit(0.5))
+    return F.percentile(_kept(numeric(args[0]), where), F.lit(0.5))
 
 
 @aggregate("PERCENTILE_CONT", low=2, text="fraction, expression")

@@ -73,3 +73,9 @@ def to_batches(df: DataFrame, rows: int = 1024) -> Iterator[pa.RecordBatch]:
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], names)
+
+
+def from_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches, in order."""
+    for b in batches:
+        yield from b.to_pylist()

@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 from veinstone.functions import aggregates, scalars
 from veinstone.functions.catalog import AGGREGATES
 from veinstone.functions.types import Val, as_bool, as_double, as_number, as_text, as_time, common, compare, literal
-from veinstone.operators.ordinal import positional_join, with_ordinal
+from veinstone.operators.ordinal import exact_percentile, positional_join, with_ordinal
 from veinstone.sql import nodes as N
 from veinstone.sql.errors import ArgumentError, ColumnNotFoundError, ParseError, PlanError, TableNotFoundError
 from veinstone.sql.visitors import derived_alias, find_aggregates, find_windows
 
 _FRAMES: dict = {}
+PERCENTILES = ("MEDIAN", "PERCENTILE_CONT", "APPROX_QUANTILE")
 LOCAL = "\0"  # the prefix of names that are resolved to a unique column
 
 
@@ -615,6 +616,16 @@ class Compiler:
             low.stars = stars
         return self.projected(low, node, items, order)
 
+    def percentile_of_all(self, low: Lowering, call: N.Call) -> Column:
+        """MEDIAN and its like without groups, from counts per value instead of one buffer of all values."""
+        args = [low.val(a) for a in call.args]
+        fraction = {"MEDIAN": lambda: 0.5, "PERCENTILE_CONT": lambda: args[0].literal[0], "APPROX_QUANTILE": lambda: args[1].literal[0]}[call.name]()
+        value = aggregates.numeric(args[1] if call.name == "PERCENTILE_CONT" else args[0])
+        if call.where is not None:
+            value = F.when(as_bool(low.val(call.where)), value)
+        name = self.fresh()
+        return exact_percentile(low.scope.df.select(value.cast("double").alias(name)), name, fraction).scalar()
+
     def over_all_rows(self, low: Lowering, windows: list) -> tuple[Lowering, DataFrame]:
         """Windows that order all rows without PARTITION BY: by positions, not by a window in one task.
 
@@ -708,7 +719,9 @@ class Compiler:
         if keys:
             df = source.groupBy(*key_columns).agg(*columns) if columns else source.select(*key_columns).distinct()
         else:
-            df = source.select(*columns)  # unlike agg(), select() waits for outer names
+            exact = [self.percentile_of_all(low, c).alias(i) if low.scope.outer is None and c.name in PERCENTILES else x for c, x, i in zip([*calls, *[N.Call("", ())] * len(firsts)], columns, ids)]
+            # unlike agg(), select() waits for outer names; the count makes it an aggregate whatever else is in it
+            df = source.select(*exact, F.count(F.lit(1)).alias(self.fresh()))
         probe = replace(low, probing=True, types=dict(low.types))
         shown = [probe.column(k).alias(i) for k, i in key_ids.items()] + [c.alias(i) for c, i in zip([probe.aggregate(c) for c in calls] + made[len(calls) :], ids)]
         frame = low.scope.typing(self.spark, *([low.ordinal] if low.ordinal else []))

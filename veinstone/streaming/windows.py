@@ -31,11 +31,11 @@ class Cancellable:
         self.spark, self.tag = spark, tag
 
     def __enter__(self) -> "Cancellable":
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.removeTag(self.tag)
+        self.spark.sparkContext.removeJobTag(self.tag)
 
     def cancel(self) -> None:
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
