@@ -267,22 +267,29 @@ def _blocks(batches):
 def _may_link(rows: DataFrame, percent: int) -> DataFrame:
     """(key, low, high, side, nid) of the members of each block whose sketches leave a link to another component possible."""
 
+    least = percent / 100
+    #: Registers agree with about the similarity's probability: fewer than eight deviations below say no.
+    agreeing = REGISTERS * least - 8 * math.sqrt(REGISTERS * least * (1 - least))
+
     def block(group: pd.DataFrame):
         x = np.frombuffer(b"".join(group["registers"]), "<u2").reshape(len(group), REGISTERS)
         n, label, side = group["n_shingles"].to_numpy(float), group["label"].to_numpy(), group["side"].to_numpy()
         crossed = group["low"].iloc[0] != group["high"].iloc[0]
         found = np.zeros(len(group), bool)
-        for i in range(len(group)):
-            other = label != label[i]
+        for at in range(0, len(group), 256):
+            part = slice(at, at + 256)
+            near = label[part, None] != label
             if crossed:
-                other &= side != side[i]
-            at = np.flatnonzero(other[i + 1 :]) + i + 1
-            if len(at):
-                at = at[(x[at] == x[i]).sum(1) >= ROWS]  # a band agrees
-                if len(at):
-                    ok = at[plausible(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), n[i]), n[at], percent / 100)]
-                    found[ok] = True
-                    found[i] |= len(ok) > 0
+                near &= side[part, None] != side
+            if near.any():
+                same = np.zeros(near.shape, np.uint8)
+                for r in range(REGISTERS):
+                    same += x[part, r, None] == x[:, r]
+                i, j = np.nonzero(near & (same >= agreeing))
+                for k in range(0, len(i), 1 << 16):
+                    a, b = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
+                    ok = plausible(x[a], x[b], n[a], n[b], least)
+                    found[a[ok]] = found[b[ok]] = True
         return group.loc[found, ["key", "low", "high", "side", "nid"]]
 
     return rows.mapInPandas(lambda batches: map(block, _blocks(batches)), "key long, low int, high int, side int, nid long")
@@ -342,7 +349,9 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Dat
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = open_.withColumn("side", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "nid", "label")
-        dealt = lambda df: df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        # Blocks are small and their comparison is not: as many tasks as there may be, whatever the bytes.
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lambda df: df.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high")
         rows = materialize(_may_link(dealt(rows.join(candidates.select("nid", "n_shingles", "registers"), "nid")), percent), "may-link")
         more = _block_links(dealt(rows.join(sets, "nid")), percent)
         links = materialize(links.unionByName(more).distinct(), "links")
