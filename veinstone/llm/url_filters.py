@@ -15,8 +15,9 @@
    on all hosts, and that towards all labels; at REJECT or more it is blocked.
 
 Null urls and urls without `://` have empty host and path; they form the empty
-template.  Ties go to block.  Repeated rows get equal verdicts; a page whose
-path very many pages share is joined in parts of SPLIT.  Long paths take as many
+template.  Ties go to block.  Repeated rows get equal verdicts.  The rows of a
+large branch, and the pages of a path that very many share, are joined in parts
+of SPLIT, so a hot host is no one task's.  Long paths take as many
 levels as they share with others.  Only built-in DataFrame functions run.
 """
 
@@ -25,13 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import materialize, read_table
+from veinstone.llm.common import join_dealt, materialize, read_table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 Z = 2.5758  # the normal quantile of 1 %, two-sided
+#: Rows of one key (a host's branch, a path's pages) beyond which a join deals them out.
 SPLIT = 1024
-#: Up to so many paths of more than SPLIT pages are broadcast; beyond, a shuffled join does the same.
-MOST_SENT = 100_000
 #: Levels of the oracle's SQL, which can't loop until all paths have ended.
 ORACLE_LEVELS = 5
 PRIOR = 4.0
@@ -76,7 +76,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         level = len(done)
         at = lambda k: F.coalesce(F.get("segments", F.lit(k)), F.lit(""))
         alone = tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("shapes"))
-        tree = tree.join(alone, ["host", "template"])
+        tree = join_dealt(tree, alone, ["host", "template"], SPLIT)
         left = F.array_join(F.slice("segments", level + 1, F.greatest(F.lit(1), F.size("segments"))), "/")
         ended = F.size("segments") <= level
         done.append(tree.where(ended | (F.col("shapes") == 1)).select(*names[:-1], F.when(ended, F.col("template")).otherwise(F.concat("template", F.lit("/"), left)).alias("template")))
@@ -98,8 +98,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         chi = n * n / (c * rest_n) * (F.col("s") - c * c / n)
         free = (F.col("k") - 1).cast("double")
         followed_otherwise = (free > 0) & (chi > free + Z * F.sqrt(2 * free))
-        literal = child.join(parent, ["host", "template"]).where((rest_n == 0) | blocked_otherwise | followed_otherwise).select("host", "template", "segment", F.lit(True).alias("literal"))
-        tree = tree.join(literal, ["host", "template", "segment"], "left")
+        literal = join_dealt(child, parent, ["host", "template"], SPLIT).where((rest_n == 0) | blocked_otherwise | followed_otherwise).select("host", "template", "segment", F.lit(True).alias("literal"))
+        tree = join_dealt(tree, literal, ["host", "template", "segment"], SPLIT)
         tree = tree.withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))).select(*names, "segments")
         tree = materialize(tree, "url-tree")
         if tree.isEmpty():
@@ -124,15 +124,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     total = named.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()  # one row
     base = (float(total["b"] or 0) + 1.0) / (float(total["l"] or 0) + 2.0)
     smoothed = (F.col("b") + PRIOR * ((F.col("tb") + PRIOR * F.lit(base)) / (F.col("tl") + PRIOR))) / (F.col("l") + PRIOR)
-    verdicts = own.join(shared, "template").select("host", "template", F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
-    verdicts = named.select("host", "shape", "template", "n").join(verdicts, ["host", "template"])
-    # A path of very many pages is dealt out in parts, its verdict copied to each.
-    parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    hot = materialize(named.where(F.col("n") > SPLIT).select("host", "shape", parts.alias("parts")), "url-hot")
-    sent = F.broadcast(hot) if hot.count() <= MOST_SENT else hot
-    dealt = parsed.join(sent, ["host", "shape"], "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    verdicts = verdicts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    out = dealt.join(verdicts, ["host", "shape", "part"], "left")
+    verdicts = join_dealt(own, shared, ["template"], SPLIT).select("host", "template", F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
+    verdicts = join_dealt(named.select("host", "shape", "template", "n"), verdicts, ["host", "template"], SPLIT)
+    out = join_dealt(parsed, verdicts.drop("n"), ["host", "shape"], SPLIT)
     return out.select("page_id", "host", "path", "rule", F.coalesce(by_rule, "by_template").alias("verdict"), "template")
 
 
