@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from veinstone.llm import chat, decontamination, embedding_dedup, near_dedup, packing, pii, quality, registry, token_counts, toxicity, url_filters
+from veinstone.llm import chat, decontamination, embedding_dedup, near_dedup, packing, pii, quality, registry, shingles, token_counts, toxicity, url_filters
 from veinstone.llm.tokenizing import piece_encoder
 
 SMALL = "/root/testdata/sf0.001"
@@ -392,3 +392,43 @@ def test_chat_edge_cases(spark):
     assert len(got) == len(rows)
     assert [(r["reply_turn"], r["linked_by"]) for r in got if r["conv_id"] == 1 and r["turn"] == 1] == [(0, "quote")] * 2
     assert sorted(r["position"] for r in got if r["conv_id"] == 1) == [0, 1, 2] and sorted(r["position"] for r in got if r["conv_id"] is None) == [0, 1]
+
+
+def test_stages_leave_nothing_in_python_workers(spark):
+    """The pipeline's stages share their workers: memory that one keeps is missing for the next."""
+    words = [f"w{i}x{j}" for i in range(40) for j in range(50)]
+    docs = docs_of(spark, [(i, " ".join(words[i * 50 : i * 50 + 50]), "x") for i in range(40)]).repartition(8)
+
+    def kept(df, module, name):
+        def look(batches):
+            import importlib
+
+            import pyarrow as pa
+
+            held = getattr(importlib.import_module(module), name)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(held)] * b.num_rows, pa.int64())], names=["n"])
+
+        return max(r["n"] for r in df.mapInArrow(look, "n long").collect())
+
+    model = toxicity.FactorizationMachine(-1.0, np.zeros((toxicity.SPACE, toxicity.FACTORS + 1), np.float32))
+    assert toxicity.keep_clean(docs, model).count() == 40
+    assert kept(docs, "veinstone.llm.toxicity", "_memo") == 0
+    near_dedup.signatures(docs).collect()
+    assert kept(docs, "veinstone.llm.shingles", "_powers") == 0
+    benchmark = spark.createDataFrame([(7, " ".join(words[100:130]))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.keep_clean(docs, benchmark).select("doc_id").collect()) == [i for i in range(40) if i != 2]
+    for _ in range(2):  # the next operator's tasks, in the same workers
+        assert pii.redacted(docs).count() == 40
+    assert kept(docs, "veinstone.llm.decontamination", "_cache") == 0
+
+
+def test_tables_of_powers_share_the_longest():
+    shingles._powers.clear()
+    for n in (5_000, 1 << 20, 100_000):
+        power, inverse = shingles._power_table(n)
+        assert len(power) >= n and (power[:5_000] * inverse[:5_000] == 1).all() and len(shingles._powers) == 1
+    texts = ["a b c d e f", "one two three four five six seven " * 50]
+    after = shingles.shingle_sets(texts)
+    shingles._powers.clear()
+    assert all((x == y).all() for x, y in zip(after, shingles.shingle_sets(texts), strict=True))

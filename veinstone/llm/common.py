@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -99,6 +100,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+_caches: dict[str, Callable[[], object]] = {}
+
+
+def kept_in_tasks(name: str, clear: Callable[[], object]) -> None:
+    """Name a module's cache that tidied() empties."""
+    _caches[name] = clear
+
+
+def _free_caches(keep: str | None) -> None:
+    for name, clear in _caches.items():
+        if name != keep:
+            clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
+
+
+def tidied(rows: Iterator, keep: str | None = None) -> Iterator:
+    """rows; before the first and behind the last of them, caches but `keep` are emptied and freed memory goes back to the system.
+
+    Python workers live on from task to task and stage to stage: what one
+    operator leaves in them would count against the next one's memory.
+    """
+    _free_caches(keep)
+    try:
+        yield from rows
+    finally:
+        _free_caches(keep)
+
+
 _NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
 
 
@@ -111,7 +142,7 @@ def map_frames(df: DataFrame, run: Callable, ddl: str, rows: int = 512) -> DataF
         for out in run(part.to_pandas(types_mapper=_NULLABLE.get) for b in batches for part in slices(b, rows)):
             yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
 
-    return df.mapInArrow(go, schema)
+    return df.mapInArrow(lambda batches: tidied(go(batches)), schema)
 
 
 def filter_texts(df: DataFrame, keep: Callable[[list], list]) -> DataFrame:
@@ -122,4 +153,4 @@ def filter_texts(df: DataFrame, keep: Callable[[list], list]) -> DataFrame:
             for part in slices(b):
                 yield part.filter(pa.array(keep(part.column("text").to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(go, df.schema)
+    return df.mapInArrow(lambda batches: tidied(go(batches)), df.schema)

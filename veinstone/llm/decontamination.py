@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import read_table, slices
+from veinstone.llm.common import kept_in_tasks, read_table, slices, tidied
 
 Q = 10
 WINDOW = 100
@@ -332,10 +332,11 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 _cache: dict[int, Index] = {}
+kept_in_tasks("index", _cache.clear)
 
 
 def _index(shared) -> Index:
-    """The index of one block, built where it is used; a worker holds one."""
+    """The index of one block, built where it is used; a worker holds one until it runs a task of another operator."""
     key, items = shared.value
     if key not in _cache:
         _cache.clear()
@@ -388,7 +389,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     names=["doc_id", "contaminated", "n_items", "item_ids", "spans"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: tidied(run(batches), "index"), OUT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -400,7 +401,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for part, found in zip(parts, _searched(shared, [p.column("text").to_pylist() for p in parts])):
                 yield part.filter(pa.array([not items for items, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: tidied(run(batches), "index"), docs.schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import discard, map_frames, materialize, read_table
+from veinstone.llm.common import discard, map_frames, materialize, read_table, tidied
 from veinstone.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 5
@@ -245,7 +245,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         moved = root != np.arange(len(sets))
         return pd.DataFrame({"a": np.minimum(nid[root], nid)[moved], "b": np.maximum(nid[root], nid)[moved]})
 
-    return rows.mapInPandas(lambda batches: map(block, _blocks(batches)), "a long, b long")
+    return rows.mapInPandas(lambda batches: tidied(map(block, _blocks(batches))), "a long, b long")
 
 
 def _blocks(batches):
@@ -292,7 +292,7 @@ def _may_link(rows: DataFrame, percent: int) -> DataFrame:
                     found[a[ok]] = found[b[ok]] = True
         return group.loc[found, ["key", "low", "high", "side", "nid"]]
 
-    return rows.mapInPandas(lambda batches: map(block, _blocks(batches)), "key long, low int, high int, side int, nid long")
+    return rows.mapInPandas(lambda batches: tidied(map(block, _blocks(batches))), "key long, low int, high int, side int, nid long")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import map_frames, read_table, slices
+from veinstone.llm.common import map_frames, read_table, slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns by kind.
@@ -520,7 +520,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, old.to_pylist())], old.type)
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in b.schema.names], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: tidied(run(batches)), docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from veinstone.llm.common import kept_in_tasks
+
 SEGMENT = 1 << 21
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+kept_in_tasks("powers", _powers.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,10 +25,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
+    """At least n powers; a longer table begins with a shorter one, so the longest is the only one."""
+    size = max([1 << max(12, (n - 1).bit_length()), *_powers])
     if size not in _powers:
-        if len(_powers) > 2:
-            _powers.clear()
+        _powers.clear()
         one = np.full(size, _P, np.uint64)
         inv = np.full(size, _INV, np.uint64)
         one[0] = inv[0] = 1

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import filter_texts, held_out, map_frames, read_table
+from veinstone.llm.common import filter_texts, held_out, kept_in_tasks, map_frames, read_table
 from veinstone.llm.labelled import training_rows
 
 SPACE = 1 << 18
@@ -41,6 +41,7 @@ MEMO = 300_000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W_]+")
 _memo: dict[str, tuple[int, ...]] = {}
+kept_in_tasks("terms", _memo.clear)
 
 
 def term_ids(word: str) -> tuple[int, ...]:
