@@ -170,6 +170,31 @@ def test_nested_correlation_and_ctes(engine):
     assert rows(engine, "WITH People AS (SELECT id FROM people WHERE id > 1) SELECT COUNT(*) AS n FROM PEOPLE a JOIN people b ON a.id = b.id") == [(2,)]
 
 
+@pytest.mark.parametrize(
+    "query, skip",
+    [
+        ("SELECT id, (SELECT x.id FROM t x WHERE x.k = o.k ORDER BY x.s DESC, x.id LIMIT 1) AS best FROM o", 0),
+        ("SELECT id, (SELECT x.id FROM t x WHERE x.k = o.k ORDER BY x.s DESC, x.id LIMIT 9) AS best FROM o", 0),
+        ("SELECT id, (SELECT x.id FROM t x WHERE x.k = o.k ORDER BY x.s DESC, x.id) AS best FROM o", 0),
+        ("SELECT id, (WITH y AS (SELECT * FROM t) SELECT x.id FROM y x WHERE x.k = o.k ORDER BY x.s DESC, x.id LIMIT 2 OFFSET 3) AS best FROM o", 3),
+        ("SELECT id, (SELECT DISTINCT x.id FROM t x WHERE x.k = o.k ORDER BY x.s DESC, x.id LIMIT 1) AS best FROM o", 0),
+        ("SELECT o.id, o.id AS best FROM o WHERE o.id IN (SELECT x.k FROM t x WHERE x.k = o.k ORDER BY x.s DESC, x.id LIMIT 1)", None),
+    ],
+)
+def test_first_rows_of_correlated_subqueries_are_ranked(spark, query, skip):
+    """Ranked by the sort keys, not by the order in which a shuffle happens to bring rows."""
+    import re
+
+    data = [(i, i % 7, i * 37 % 11) for i in range(200)]
+    df = Engine(spark, {"t": spark.createDataFrame(data, "id long, k long, s long"), "o": spark.createDataFrame([(i, i) for i in range(9)], "id long, k long")}).sql(query)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    ranks = re.findall(r"row_number\(\) windowspecdefinition\(.*?specifiedwindowframe", plan)
+    assert ranks and all(" ASC " in r or " DESC " in r for r in ranks)
+    best = {k: [i for i, g, _ in sorted(data, key=lambda r: (-r[2], r[0])) if g == k] for k in range(9)}
+    want = [(i, (best[i][skip] if best[i] else None) if skip is not None else i) for i in range(9) if skip is not None or best[i]]
+    assert sorted(map(tuple, df.collect())) == want
+
+
 @pytest.mark.parametrize("text", ["SELECT x FROM lists LATERAL VIEW EXPLODE(arr) AS x", "SELECT x FROM lists LATERAL VIEW EXPLODE(arr) t", "SELECT * FROM UNNEST(arr)", "SELECT * FROM JSON_EACH('{}') AS j(a, b, c)"])
 def test_table_function_errors(engine, text):
     with pytest.raises(Exception):

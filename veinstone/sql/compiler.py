@@ -249,13 +249,12 @@ class Lowering:
         return Val(self.sub(e.query)[0].exists(), T.BooleanType())
 
     def v_scalar(self, e: N.Scalar) -> Val:
-        df, out = self.sub(e.query)
-        if self.probing:
-            return Val(F.lit(None).cast(out[0].type), out[0].type)
         q = e.query
         one = isinstance(q, N.Select) and not q.group and q.offset is None and bool(find_aggregates([i.expr for i in q.items]))
-        df = df.select(out[0].id)
-        return Val((df if one else df.limit(1)).scalar(), out[0].type)
+        df, out = self.sub(q if one else first_row(q))
+        if self.probing:
+            return Val(F.lit(None).cast(out[0].type), out[0].type)
+        return Val(df.select(out[0].id).scalar(), out[0].type)
 
     def v_case(self, e: N.Case) -> Val:
         results = [self.val(r) for _, r in e.whens] + ([self.val(e.otherwise)] if e.otherwise is not None else [])
@@ -769,7 +768,8 @@ class Compiler:
             elif order:  # rows that tie keep their input order
                 tie = self.fresh()
                 df = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*low.sort_keys(order), tie)
-            df = df.select(*made)
+            # The limit comes right upon the sort: Spark ranks a correlated subquery's rows by a sort below its limit only.
+            df = self.limited(df, node).select(*made)
         else:
             shown = {e: i for (_, _, e), i in zip(columns, ids)}
             if all(o.expr in shown for o in order):
@@ -779,7 +779,8 @@ class Compiler:
                     df = df.orderBy(*after.sort_keys(tuple(replace(o, expr=N.Name(shown[o.expr], LOCAL)) for o in order)))
             else:
                 df = self.distinct_by_hidden(low, made, ids, order)
-        return self.limited(df, node), entries
+            df = self.limited(df, node).select(*ids)
+        return df, entries
 
     def distinct_by_hidden(self, low: Lowering, made: list[Column], ids: list[str], order: tuple) -> DataFrame:
         """Distinct rows in the order of the first of their equals: rank by the sort keys, then take the least rank."""
@@ -791,7 +792,7 @@ class Compiler:
             keys.append((c.desc_nulls_last() if o.nulls_last else c.desc_nulls_first()) if o.descending else (c.asc_nulls_last() if o.nulls_last else c.asc_nulls_first()))
         nth = self.fresh()
         ranked = df.withColumn(nth, F.row_number().over(W.partitionBy(*ids).orderBy(*keys)))
-        return ranked.where(F.col(nth) == 1).orderBy(*keys).select(*ids)
+        return ranked.where(F.col(nth) == 1).orderBy(*keys)
 
 
 def conjuncts(e: N.Node) -> list[N.Node]:
@@ -799,6 +800,13 @@ def conjuncts(e: N.Node) -> list[N.Node]:
     return [*conjuncts(e.left), *conjuncts(e.right)] if isinstance(e, N.Binary) and e.op == "AND" else [e]
 
 
+def first_row(query: N.Node) -> N.Node:
+    """The query cut to its first row."""
+    if isinstance(query, N.With):
+        return replace(query, query=first_row(query.query))
+    return replace(query, limit=1 if query.limit is None else min(1, query.limit))
+
+
 def compile_query(spark: SparkSession, node: N.Node, tables: dict[str, DataFrame], functions: dict | None = None) -> DataFrame:
     df, out = Compiler(spark, tables, functions).query(node, {}, None)
     return df.select([F.col(e.id).alias(e.name) for e in out])
