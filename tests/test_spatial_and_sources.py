@@ -1,8 +1,13 @@
 import json
+import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from veinstone import Engine
+from veinstone.plans.catalogue import QUERIES
 from veinstone.sources.tables import custom_source, from_batches, to_batches
 from veinstone.spatial import geometry as G
 from veinstone.streaming.windows import Cancellable, rows, tumbling
@@ -38,6 +43,31 @@ def test_distance():
     assert G.distance(shape(SQUARE), shape("LINESTRING (6 0, 6 4)")) == 2
 
 
+def test_distance_has_no_slack():
+    for n, cents in [(5, 400000), (5, 400001), (5, 399999), (15, 400003), (15, 399997), (6, 700000), (7, 0), (10, 900000), (10, 900001)]:
+        y = cents / 100 / 1000
+        assert G.within_distance(shape(f"POINT ({n} {y})"), shape("POINT (10 4)"), 5) is (math.sqrt((n - 10) * (n - 10) + (y - 4) * (y - 4)) <= 5)
+    assert G.within_distance(shape("POINT (4 9)"), shape(SQUARE), 5) and not G.within_distance(shape("POINT (4 9.00000000005)"), shape(SQUARE), 5)
+    assert G.within_distance(shape("POINT (-0.0000001 0)"), shape("POINT (10000000000 0)"), 1e10)
+    draw = random.Random(1)
+    for _ in range(500):
+        a, b = (draw.uniform(-9, 9), draw.uniform(-9, 9)), (draw.uniform(-9, 9), draw.uniform(-9, 9))
+        d = math.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
+        assert G.within_distance(G.Shape([a]), G.Shape([b]), d) and not G.within_distance(G.Shape([a]), G.Shape([b]), math.nextafter(d, 0))
+
+
+def test_st_dwithin_at_the_edge(spark):
+    """The registered query on balances whose points lie within 1e-10 of the circle."""
+    rows = [(i, n, c / 100) for i, (n, c) in enumerate((n, c) for n in (5, 15) for c in range(399990, 400011))]
+    text, sql = QUERIES["st_dwithin"]
+    df = spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE customer (c_custkey BIGINT, c_nationkey INTEGER, c_acctbal DOUBLE)")
+    con.executemany("INSERT INTO customer VALUES (?, ?, ?)", rows)
+    got = sorted(r[0] for r in Engine(spark, {"customer": df}).sql(text).collect())
+    assert got == sorted(r[0] for r in con.sql(sql).fetchall()) and len(got) == 2
+
+
 @pytest.mark.parametrize("wkt", [SQUARE, HOLED, "POINT (1 -2.5)", "LINESTRING (0 0, 1 1)", "MULTIPOINT (0 0, 1 1)", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))"])
 def test_wkt_round_trip(wkt):
     assert G.geojson_to_wkt(G.wkt_to_geojson(wkt)) == wkt
